@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import encode, packing
+from ledgerloom.llm import encode, packing, survivor
 from ledgerloom.sources.tables import table
 
 #: Tokens of a container in p8.
@@ -15,6 +15,14 @@ CAPACITY = 2048
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return survivor.survivors(table(spark, folder, "claim_extractions"), table(spark, folder, "extraction_methods"))
+
+
+def p6_fused(spark: SparkSession, folder: str) -> DataFrame:
+    return survivor.fused(table(spark, folder, "claim_extractions"))
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode.token_ids(table(spark, folder, "documents", "doc_id", "text"))
 
@@ -25,7 +33,7 @@ def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p7_ids": p7_ids, "p8_containers": p8_containers}
+    return {"p6_found": p6_found, "p6_fused": p6_fused, "p7_ids": p7_ids, "p8_containers": p8_containers}
 
 
 def oracle_sql() -> dict[str, str]:
