@@ -38,7 +38,7 @@ MONTHS = frozenset(
 #: Frequent function words that tell languages of one script apart.
 _WORDS = {
     "de": frozenset("der die das und ist nicht wurde mit von für den dem ein eine liegt fehlt bei um sie wir haben zum lt gem hr fr sind auf".split()),
-    "fr": frozenset("le la les de du des et est une un pour dans que nous avons pas dit reste au sur été prescrit l'assuré cf m mme mm".split()),
+    "fr": frozenset("le la les de du des et est une un pour dans que nous avons pas dit reste au sur été prescrit l'assuré mme".split()),
     "en": frozenset("the of and to in is was for with on that by has not been this from are be at".split()),
 }
 _MARATHI = re.compile(r"\b(?:आहे|आहेत|नाही|यांनी|येथे|झाली|केले|होता|यांची|व|का|इतके|मिळेल|पाठवा|इतकी)\b")
@@ -52,6 +52,8 @@ _SPACE = re.compile(r"\s+")
 _NEXT = re.compile(r"[\s\"'“”„«»‘’(\[「『（]*([\p{L}\p{N}][\p{L}\p{M}\p{N}'’-]*)")
 _MARK = re.compile(r"[.!?…" + ALWAYS + r"]+|(?<=[\p{Deva}])\|")
 _THAI = re.compile(r"(?<=[\p{Thai}])\s+(?=[\p{Thai}])")
+_LAST = re.compile(r"[^\s(\"“„«「\[,;:/'’]*$")
+_RUN_ON = re.compile(r"(?<=\p{Ll}{3})\.(?=\p{Lu}\p{Ll})")
 _TOKEN = re.compile(r"[\p{L}\p{N}][\p{L}\p{M}\p{N}.'’/-]*")
 _QUOTES = {"“": "”", "«": "»", "「": "」", "『": "』", "„": "“", '"': '"', "‹": "›", "（": "）", "(": ")"}
 
@@ -123,6 +125,23 @@ def _before(block: str, at: int) -> str:
     return re.split(r"['’]", block[i + 1 : at])[-1].lower()
 
 
+def _quoted(block: str) -> list[tuple[int, int]]:
+    """Start and end of what is quoted or in brackets; a quote that is never closed is none."""
+    spans, i = [], 0
+    while i < len(block):
+        if close := _QUOTES.get(block[i]):
+            j = block.find(close, i + 1)
+            if j < 0 and close == "“":
+                j = block.find("”", i + 1)
+            if block[i] in '("' and j > i + 400:
+                j = -1
+            if j > 0:
+                spans.append((i, j))
+                i = j
+        i += 1
+    return spans
+
+
 def _is_number(t: str) -> bool:
     return bool(re.fullmatch(r"[\d.,/-]*\d[\d.,/-]*", t))
 
@@ -137,8 +156,14 @@ def count(text: str | None, lang: str | None, into: Counter) -> None:
             if w and not _is_number(w) and len(w) <= 40:
                 into[lg, "all", w] += 1
         into[lg, "blocks", ""] += 1
+        quotes = [q for q in _quoted(block) if block[q[0]] != "("]
+        at = 0
         for m in _MARK.finditer(block):
             end, mark = m.end(), m.group()
+            while at < len(quotes) and quotes[at][1] < end:
+                at += 1
+            if at < len(quotes) and quotes[at][0] < end:
+                continue  # what ends a sentence of quoted speech ends no unit
             rest = block[end : end + 1]
             if mark == "." and not (rest == "" or rest.isspace() or rest in CLOSING or rest == ","):
                 continue
@@ -184,13 +209,13 @@ def is_abbreviation(t: str, all_: int, dot: int, final: int, small: int, dots: i
     expected = finals / max(dots, 1)
     # Sentence-final words end blocks as often as any period does; abbreviations hardly ever do, or small letters follow.
     rare_end = final / dot < 0.25 * expected and _llr(final, dot, expected, max(final / dot, 1e-6)) > 3.84
-    if small / dot >= 0.5 and without <= dot and len(letters) <= 6:
+    if len(letters) <= 6 and (small >= 0.5 * dot and without <= dot or small >= 0.8 * dot and dot >= 3):
         score = max(score, 1.0)
     elif not rare_end and small / dot < 0.1 and "." not in t:
         return None
-    elif rare_end and without <= 0.05 * dot:
+    elif rare_end and (without <= 0.05 * dot or (final <= 0.02 * dot and len(letters) <= 5)):
         score = max(score, 1.0)
-    return None if score < 0.3 else final > 0 or small < dot
+    return None if score < 0.3 else final > 0.02 * dot or (dot < 5 and small < dot)
 
 
 class Splitter:
@@ -211,24 +236,8 @@ class Splitter:
                 out.append(last)
         return out
 
-    def _quoted(self, block: str) -> list[tuple[int, int]]:
-        """Start and end of what is quoted or in brackets; a quote that is never closed is none."""
-        spans, i = [], 0
-        while i < len(block):
-            if close := _QUOTES.get(block[i]):
-                j = block.find(close, i + 1)
-                if j < 0 and close == "“":
-                    j = block.find("”", i + 1)
-                if block[i] in '("' and j > i + 400:
-                    j = -1
-                if j > 0:
-                    spans.append((i, j))
-                    i = j
-            i += 1
-        return spans
-
     def _inner(self, block: str, lang: str) -> Iterator[int]:
-        spans = self._quoted(block)
+        spans = _quoted(block)
         at = 0
         marks = [(m.start(), m.end(), m.group()) for m in _MARK.finditer(block)]
         if lang == "th" or re.search(r"\p{Thai}", block):
@@ -242,6 +251,8 @@ class Splitter:
                 between = block[end:close]
                 if between.strip():
                     continue  # more follows in the quote
+                if mark == "." and (lang, _before(block, start)) in self.model.abbreviations:
+                    continue
                 end = close + 1
                 while end < len(block) and block[end] in CLOSING:
                     end += 1
@@ -277,7 +288,7 @@ class Splitter:
         word = nxt.group(1) if nxt else ""
         starter = (lang, word.lower()) in self.model.starters
         if rest and not rest.isspace():
-            if mark == "." and rest.isupper() and re.search(r"[\p{Ll}\p{M}\d)]{3}$", block[max(0, start - 6) : start]) and re.match(r"\p{Lu}\p{Ll}*(?:\s|$)", block[end : end + 40]):
+            if mark == "." and rest.isupper() and re.search(r"[\p{Ll}\p{M}\d)]{3}$", block[max(0, start - 6) : start]) and re.match(r"\p{Lu}\p{Ll}*\.?(?:\s|$)", block[end : end + 40]):
                 return starter or len(word) > 1
             return mark != "." and mark[-1] in "!?" and rest.isupper()
         if not block[end:].strip():
@@ -299,7 +310,7 @@ class Splitter:
             return False
         if known is None:
             return not (word[0].islower() and len(t) <= 3 and not starter and not t.isdigit())
-        return known and starter and not word[0].islower()
+        return known and (word[0].isupper() or (starter and not word[0].islower()))
 
 
 #: What may reach the driver; the statistics themselves stay distributed.
