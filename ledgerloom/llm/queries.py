@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import encode, packing, survivor
+from ledgerloom.llm import encode, packing, sentences, survivor
 from ledgerloom.sources.tables import table
 
 #: Tokens of a container in p8.
@@ -32,8 +32,12 @@ def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(sizes, CAPACITY)
 
 
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return sentences.units(table(spark, folder, "documents", "doc_id", "text", "lang"))
+
+
 def queries() -> dict[str, Query]:
-    return {"p6_found": p6_found, "p6_fused": p6_fused, "p7_ids": p7_ids, "p8_containers": p8_containers}
+    return {"p6_found": p6_found, "p6_fused": p6_fused, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found}
 
 
 def oracle_sql() -> dict[str, str]:
