@@ -121,8 +121,7 @@ class Model:
 
 def _before(block: str, at: int) -> str:
     """The type that ends at a mark: the last run of letters, figures and inner periods."""
-    i = max(block.rfind(c, max(0, at - 60), at) for c in " \n\t (\"“„«「[,;:/")
-    return re.split(r"['’]", block[i + 1 : at])[-1].lower()
+    return _RUN_ON.split(_LAST.search(block, max(0, at - 60), at).group())[-1].lower()
 
 
 def _quoted(block: str) -> list[tuple[int, int]]:
