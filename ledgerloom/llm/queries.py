@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import encode, packing, sentences, survivor
+from ledgerloom.llm import encode, names, packing, sentences, survivor
 from ledgerloom.sources.tables import table
 
 #: Tokens of a container in p8.
@@ -15,6 +15,14 @@ CAPACITY = 2048
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p5_entities(spark: SparkSession, folder: str) -> DataFrame:
+    return names.entities(table(spark, folder, "identity_sources"))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return names.variant_pairs(p5_entities(spark, folder))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return survivor.survivors(table(spark, folder, "claim_extractions"), table(spark, folder, "extraction_methods"))
 
@@ -37,7 +45,7 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p6_found": p6_found, "p6_fused": p6_fused, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found}
+    return {"p5_found": p5_found, "p5_entities": p5_entities, "p6_found": p6_found, "p6_fused": p6_fused, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found}
 
 
 def oracle_sql() -> dict[str, str]:
