@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import encode, names, packing, sentences, survivor
+from ledgerloom.llm import addresses, encode, names, packing, sentences, survivor
 from ledgerloom.sources.tables import table
 
 #: Tokens of a container in p8.
@@ -15,6 +15,14 @@ CAPACITY = 2048
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_places(spark: SparkSession, folder: str) -> DataFrame:
+    return addresses.places(table(spark, folder, "facility_addresses"))
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return addresses.place_pairs(p1_places(spark, folder))
+
+
 def p5_entities(spark: SparkSession, folder: str) -> DataFrame:
     return names.entities(table(spark, folder, "identity_sources"))
 
@@ -45,7 +53,7 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p5_found": p5_found, "p5_entities": p5_entities, "p6_found": p6_found, "p6_fused": p6_fused, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found}
+    return {"p1_found": p1_found, "p1_places": p1_places, "p5_found": p5_found, "p5_entities": p5_entities, "p6_found": p6_found, "p6_fused": p6_fused, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found}
 
 
 def oracle_sql() -> dict[str, str]:
