@@ -8,7 +8,7 @@ import numpy as np
 class Boosted:
     """Binary classification by boosted regression trees on the logistic loss, with binned features."""
 
-    def __init__(self, trees: int = 60, depth: int = 4, rate: float = 0.25, bins: int = 24, least: int = 8, penalty: float = 1.0):
+    def __init__(self, trees: int = 60, depth: int = 4, rate: float = 0.25, bins: int = 24, least: int = 6, penalty: float = 1.0):
         self.trees, self.depth, self.rate, self.bins, self.least, self.penalty = trees, depth, rate, bins, least, penalty
         self.base = 0.0
         self.edges: list[np.ndarray] = []
@@ -19,9 +19,11 @@ class Boosted:
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Boosted:
         x, y = np.asarray(x, float), np.asarray(y, float)
-        self.edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, self.bins + 1)[1:-1])) for j in range(x.shape[1])]
+        self.edges = [self._edges(x[:, j]) for j in range(x.shape[1])]
         b = self._binned(x)
+        live = np.flatnonzero(b.max(axis=0) > b.min(axis=0))
         width = self.bins + 1
+        flat = b[:, live] + np.arange(len(live)) * width
         p = min(max(y.mean(), 1e-3), 1 - 1e-3)
         self.base = float(np.log(p / (1 - p)))
         f = np.full(len(y), self.base)
@@ -37,25 +39,29 @@ class Boosted:
                     continue
                 sg, sh = g[rows].sum(), h[rows].sum()
                 value[node] = sg / (sh + self.penalty)
-                if node >= 2**self.depth - 1 or len(rows) < 2 * self.least:
+                if node >= 2**self.depth - 1 or len(rows) < 2 * self.least or not len(live):
                     continue
-                best = (1e-6, -1, 0)
-                for j in range(b.shape[1]):
-                    col = b[rows, j]
-                    cg, ch = np.bincount(col, g[rows], width).cumsum(), np.bincount(col, h[rows], width).cumsum()
-                    n = np.bincount(col, minlength=width).cumsum()
-                    gain = cg**2 / (ch + self.penalty) + (sg - cg) ** 2 / (sh - ch + self.penalty) - sg**2 / (sh + self.penalty)
-                    gain[(n < self.least) | (len(rows) - n < self.least)] = 0
-                    k = int(gain.argmax())
-                    if gain[k] > best[0]:
-                        best = (float(gain[k]), j, k)
-                if best[1] >= 0:
-                    feature[node], cut[node] = best[1], best[2]
-                    at[rows] = np.where(b[rows, best[1]] <= best[2], 2 * node + 1, 2 * node + 2)
+                where, size = flat[rows].ravel(), len(live) * width
+                cg = np.bincount(where, np.repeat(g[rows], len(live)), size).reshape(-1, width).cumsum(axis=1)
+                ch = np.bincount(where, np.repeat(h[rows], len(live)), size).reshape(-1, width).cumsum(axis=1)
+                n = np.bincount(where, minlength=size).reshape(-1, width).cumsum(axis=1)
+                gain = cg**2 / (ch + self.penalty) + (sg - cg) ** 2 / (sh - ch + self.penalty) - sg**2 / (sh + self.penalty)
+                gain[(n < self.least) | (len(rows) - n < self.least)] = 0
+                best = int(gain.argmax())
+                if gain.flat[best] > 1e-6:
+                    feature[node], cut[node] = live[best // width], best % width
+                    at[rows] = np.where(b[rows, feature[node]] <= cut[node], 2 * node + 1, 2 * node + 2)
             self.model.append((feature, cut, value))
             f += self.rate * value[at]
         return self
 
+    def _edges(self, column: np.ndarray) -> np.ndarray:
+        """Cuts between the values if they are few, else between quantiles."""
+        values = np.unique(column)
+        if len(values) > self.bins:
+            values = np.unique(np.quantile(column, np.linspace(0, 1, self.bins)))
+        return (values[1:] + values[:-1]) / 2
+
     def probability(self, x: np.ndarray) -> np.ndarray:
         x = np.asarray(x, float)
         if not len(x):

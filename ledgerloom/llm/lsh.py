@@ -70,7 +70,7 @@ def links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], hot: int
     def pairs(frame: DataFrame) -> DataFrame:
         left = frame.select("bucket", F.col("id").alias("a"))
         right = frame.select("bucket", F.col("id").alias("b"))
-        return left.join(right, "bucket").where("a < b").select("a", "b").distinct()
+        return left.join(right.hint("merge"), "bucket").where("a < b").select("a", "b").distinct()
 
     found = [verify(pairs(members.where(F.col("n") <= hot)))]
     rest = members.where(F.col("n") > hot).drop("n")
@@ -112,9 +112,9 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         before = mark
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(low.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = durable(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
     roots = now.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("root"))
     return roots.unionByName(now.select(F.col("v").alias("id")).distinct().join(roots.select("id"), "id", "left_anti").withColumn("root", F.col("id")))

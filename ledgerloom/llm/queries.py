@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import addresses, encode, names, packing, repair, sentences, survivor
+from ledgerloom.llm import addresses, encode, names, packing, pii, repair, sentences, survivor
 from ledgerloom.sources.tables import table
 
 #: Tokens of a container in p8.
@@ -31,6 +31,14 @@ def p3_text(spark: SparkSession, folder: str) -> DataFrame:
     return repair.repaired(table(spark, folder, "scan_texts"), table(spark, folder, "claim_codes"))
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.personal(table(spark, folder, "scan_texts"))
+
+
+def p4_text(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.redacted(table(spark, folder, "scan_texts"))
+
+
 def p5_entities(spark: SparkSession, folder: str) -> DataFrame:
     return names.entities(table(spark, folder, "identity_sources"))
 
@@ -61,7 +69,7 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_places": p1_places, "p3_found": p3_found, "p3_text": p3_text, "p5_found": p5_found, "p5_entities": p5_entities, "p6_found": p6_found, "p6_fused": p6_fused, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found}
+    return {"p1_found": p1_found, "p1_places": p1_places, "p3_found": p3_found, "p3_text": p3_text, "p4_found": p4_found, "p4_text": p4_text, "p5_found": p5_found, "p5_entities": p5_entities, "p6_found": p6_found, "p6_fused": p6_fused, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found}
 
 
 def oracle_sql() -> dict[str, str]:
