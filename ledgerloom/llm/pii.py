@@ -37,11 +37,11 @@ BUILT = frozenset("house plot flat building complex apartments apartment arcade
 _GAP = r"[ ]?"
 GENERATORS = {
     "email": re.compile(r"[\p{L}\p{N}][\w.+-]*" + _GAP + r"(?:@|\[at\]|\(at\)|\{at\})" + _GAP + r"[\p{L}\p{N}-]+(?:" + _GAP + r"(?:\.(?=[\p{L}\p{N}])|\[dot\]|\(dot\)|\{dot\})" + _GAP + r"[\p{L}\p{N}-]+)+", re.I),
-    "phone": re.compile(r"(?<![\p{L}\p{N}/,.-])(?:\+\d{1,3}[ .-]?|00\d{2}[ .-]?)?(?:\(0?\d{2,5}\)[ .-]?)?\d(?:[ .-]?\d){6,13}(?![\p{L}\p{N}/]|[.,]\d|-\d)"),
+    "phone": re.compile(r"(?<![\p{L}\p{N}/,.+-])(?:\+\d{1,3}[ .-]?|00\d{2}[ .-]?)?(?:\(0?\d{2,5}\)[ .-]?)?\d(?:[ .-]?\d){6,13}(?![\p{L}\p{N}/]|[.,]\d|-\d)"),
     "id_number": re.compile(r"(?<![\p{L}\p{N}/.-])(?:\d{4}[ -]?\d{4}[ -]?\d{4}|\p{L}{5}[ -]?\d{4}[ -]?\p{L}|\p{L}{3}[ /-]?\d{7}|\p{L}[ -]?\d{7})(?![\p{L}\p{N}]|-\d)"),
     "address": re.compile(
-        r"(?<![\p{L}\p{N}/-])(?:(?:[Hh]ouse|HOUSE|[Hh]\.?|[Pp]lot|PLOT|[Ff]lat|FLAT|[Dd]oor|DOOR|[Uu]nit|UNIT|[Ss]hop|SHOP|[Rr]oom|ROOM|[Gg]ala|GALA|[Oo]ffice|OFFICE)\s?(?:[Nn][Oo]\b)?\.?\s?[#-]?\s?\d[\w/-]*|\d{1,4}(?:/\d{1,4})?[/-]?[A-Za-z]?)"
-        r"(?:\s?,\s?(?:\p{Lu}[\p{L}\p{N}'-]*\.?(?=\s?,)|\p{Lu}[\p{L}\p{N}'-]*)(?:\s(?:\p{Lu}[\p{L}\p{N}'-]*\.?(?=\s?,)|\p{Lu}[\p{L}\p{N}'-]*)){0,3}){1,7}(?:\s?[,-]?\s?(?:PIN\s?:?\s?)?\d{3}\s?\d{3}(?!\d))?"
+        r"(?<![\p{L}\p{N}/-])(?:(?:[Hh]ouse|HOUSE|[Hh]\.?|[Pp]lot|PLOT|[Ff]lat|FLAT|[Dd]oor|DOOR|[Uu]nit|UNIT|[Ss]hop|SHOP|[Rr]oom|ROOM|[Gg]ala|GALA|[Oo]ffice|OFFICE)[ ]?(?:[Nn][Oo]\b)?\.?[ ]?[#-]?[ ]?\d[\w/-]*|\d{1,4}(?:/\d{1,4})?[/-]?[A-Za-z]?)"
+        r"(?:[ ]?,[ ]?(?:\p{Lu}[\p{L}\p{N}'-]*\.?(?=[ ]?,)|\p{Lu}[\p{L}\p{N}'-]*)(?:[ ](?:\p{Lu}[\p{L}\p{N}'-]*\.?(?=[ ]?,)|\p{Lu}[\p{L}\p{N}'-]*)){0,3}){1,7}(?:[ ]?[,-]?[ ]?(?:PIN[ ]?:?[ ]?)?\d{3}[ ]?\d{3}(?!\d))?"
     ),
 }
 _NAME = re.compile(r"(?:\p{Lu}\.(?:\s?\p{Lu}\.)*|\p{Lu}[\p{L}'’-]+|\p{Lu}(?=\s\p{Lu}))")
@@ -97,6 +97,7 @@ def features(text: str, kind: str, a: int, b: int, ordinary: frozenset[str]) ->
         line_start, bool(re.match(r"[ ]?\p{Lu}[\p{L}.]", text[b : b + 3])), bool(re.search(r"\p{Lu}[\p{L}]*\.? ?$", text[max(0, a - 14) : a])), bool(re.search(r"\p{Lu}\.\s?$", text[max(0, a - 4) : a])),
         bool(after and after[0].lower() in ORGANISATION), bool(before and before[-1].lower() in ORGANISATION), bool(before and before[-1].lower() in TITLES or len(before) > 1 and before[-1] == "." and before[-2].lower() in TITLES),
         bool(re.match(r"\s?[-,]?\s?\d{3}\s?\d{3}", text[b : b + 10])), b - a >= 4 and bool(re.match(r"\p{L}", text[b : b + 1])), bool(re.search(r"(?i)rs\.?\s?$|inr\s?$|₹\s?$", text[max(0, a - 5) : a])), bool(re.match(r"[\d.,/]", text[b : b + 1])),
+        bool(re.search(r"[\d)][ .-]?$", text[max(0, a - 2) : a])), bool(re.match(r"[ .-]?\d", text[b : b + 2])), bool(re.match(r"[ ]?\(", text[max(0, a - 8) : a])),
         bool(words) and len(words[-1]) == 1, bool(re.match(r"\p{L}", span[:1])) and len(words) == 1,
     ]
     near = [w.lower() for w in before]
@@ -206,7 +207,7 @@ def span_model(seed: int = 3) -> tuple[Boosted, tuple[float, ...]]:
         for _ in range(draw.randrange(3, 8)):
             t, spans = _filled(draw.choice(WITH if draw.random() < 0.55 else WITHOUT), draw)
             truth |= {(k, a + len(text), b + len(text)) for k, a, b in spans}
-            text += t + draw.choice((" ", " ", "\n"))
+            text += t + (draw.choice((" ", " ", "\n")) if t.endswith(".") else "\n")
         for kind, a, b in candidates(text):
             rows.append(features(text, kind, a, b, ordinary))
             label.append((kind, a, b) in truth)
@@ -215,7 +216,7 @@ def span_model(seed: int = 3) -> tuple[Boosted, tuple[float, ...]]:
     cut = SAMPLE * 2 // 3
     model = Boosted(trees=50, depth=4, bins=12).fit(x[:cut], y[:cut])
     p = model.probability(x[cut:])
-    limits = tuple(min(0.6, max(0.15, calibrated_threshold(p[k[cut:] == i], y[cut:][k[cut:] == i], 0.98))) for i in range(len(TYPES)))
+    limits = tuple(min(0.5, max(0.15, calibrated_threshold(p[k[cut:] == i], y[cut:][k[cut:] == i]))) for i in range(len(TYPES)))
     return model, limits
 
 
