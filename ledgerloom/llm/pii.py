@@ -134,6 +134,7 @@ WITH = (
     "Tax id {T} does not belong to {N}.", "Nominee {N}, PAN {T}.", "Voter card {V} was shown at the counter.", "Passport no. {Q} was copied.", "S/o {N} of {A}", "Attention {N}, phone {P}.", "My father {N} can be reached on {P}.", "The driver {N} lives at {A}.", "Smt. {N} paid at the counter.", "Signed by {N}.", "Driving was denied by Kum. {N}.", "Shri {N} is my guardian.", "Discharged by Dr. {N}, M.D., in the evening.",
 )
 WITHOUT = (
+    "Supporting vouchers for ₹ {6}.{2} have not been produced.", "Sub Total ₹{6}.{2}", "Payment of ₹{6} will be transferred.", "The final bill of ₹ {5}.{2} was signed for.", "Registration ₹ {6}", "The claim no. {6}-B was registered.", "Claim Form Part B",
     "Policy SWP{7} is active.", "Policy SWP{8} was in force.", "Claim CL{8} replaces claim CL{6}.", "Lot {6} of the implant was used.", "Order {5}-{6} was cancelled.", "Regn. No. {6} of the hospital expired.", "The receipt no. {0} was attached.", "UTR {1} was credited.", "The tariff of {H}, {C} applies.", "The hospital {H} is listed.", "The grievance was escalated to the nodal officer of {C} Health.",
     "Room Charges : Rs. {6}", "Sub Total INR {5}.00", "Interim bills were raised on 2024-03-1{x} for Rs. {5}.", "Blood pressure remained within acceptable limits throughout the stay.", "Consultation Fee .... Rs. {5}", "Medicines and Consumables : INR {6}", "CT Scan Abdomen Rs.{5}", "The Regional Manager of {C} wants to see the bill.", "Chemotherapy cycles were administered.", "Our medical team has verified the tariff of {H} in response to the query.",
     "The policy SWP{8} was in force during the entire period.", "The accident was reported at the nearest police station in {C}.", "Bill no. {5} of {H} dated 12.03.2024.", "Account {1} was debited.", "The claim was registered under reference no. {6} and assigned.", "The Insurer may call for additional documents.", "Liver Function Test : Rs. {6}", "MRI Brain INR {5}", "Operation Theatre .... Rs {6}", "Diet Charges INR {5}", "Nursing Charges Rs. {5}", "X-Ray Chest PA : Rs {5}", "An ultrasound of the abdomen showed stones.", "Batch {0} of the medicine was recalled.", "Invoice {1} was paid.", "The discharge card mentions K80.2 as the primary code.", "The visit to {H} took 3 hours.", "The insurer returned the bill during the visit to {H}.", "The third party administrator has forwarded the complete file to {I}.", "The investigator approved the tariff of {H} without further comment.", "The hospital {H} is listed.", "The grievance was escalated to the nodal officer of {I}.", "{H} has replied.", "{I} has paid.", "The field investigation at {C} ended.", "The regional office in {C} closed at 5.", "Advance payment of Rs {5} was collected at the admission counter.",

@@ -120,7 +120,8 @@ def generated_pages(seed: int, pages: int) -> tuple[list[str], list[int]]:
     number = lambda n: (f"Page {n} of {pages}", f"- {n} -", str(n), f"Pg. {n}", f"Page No: {n:02d}", f"{n}/{pages}", f"[{n}]", f"Page{n} of{pages}", f"Page {n}")[style]
     kind = draw.randrange(6)
     claim = draw.randrange(10**5, 10**6)
-    head = (f"{name()} Health | Medical Claim File", f"{name()} Hospital - Claim Form Part B", f"{name()} Diagnostics, {name()}gaon", "Discharge Summary continued", f"Reimbursement Claim Form no. {claim}", f"CONFIDENTIAL  Claim CL{claim}")[kind]
+    house = f"{name()} " + draw.choice(("Hospital", "Diagnostics", "Eye Hospital", "Dental Clinic", "Nursing Home", "Heart Institute", "Multispeciality Hospital", "Charitable Trust Hospital", "Hospital and Research Centre"))
+    head = (f"{name()} Health | Medical Claim File", f"{house} - Claim Form Part B", f"{house}, {name()}gaon", "Discharge Summary continued", f"Reimbursement Claim Form no. {claim}", f"CONFIDENTIAL  Claim CL{claim}")[kind]
     if draw.random() < 0.3:
         head = head.upper()
     lines, mark = [], []
