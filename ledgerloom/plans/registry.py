@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.operators import drift
+from ledgerloom.plans import extraction, filters, metrics, relational, rules, streams
 from ledgerloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,9 +30,18 @@ def p2_table(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumn("cells", F.to_json("cells"))
 
 
+_BOOKS = (filters, metrics, extraction, rules, relational, streams)
+
+
 def queries() -> dict[str, Query]:
-    return {"p2_found": p2_found, "p2_cells": p2_cells, "p2_table": p2_table}
+    out: dict[str, Query] = {"p2_found": p2_found, "p2_cells": p2_cells, "p2_table": p2_table}
+    for module in _BOOKS:
+        out |= module.book.queries
+    return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    out: dict[str, str] = {}
+    for module in _BOOKS:
+        out |= module.book.sql
+    return out
