@@ -25,11 +25,11 @@ from pyspark.sql import functions as F
 
 from ledgerloom.durable import durable
 from ledgerloom.llm.boost import Boosted, calibrated_threshold
-from ledgerloom.llm.repair import furniture, furniture_model
+from ledgerloom.llm.repair import furniture_model, furniture_of
 from ledgerloom.sources.tables import spread
 
 TYPES = ("email", "phone", "id_number", "address", "person")
-SAMPLE = 7500
+SAMPLE = 8000
 #: Titles and words of kinship before names, words of organisations, and words that begin an address.
 TITLES = frozenset("mr mrs ms miss dr shri sri smt kum kumari master late prof md mbbs".split())
 ORGANISATION = frozenset("hospital hospitals clinic diagnostics diagnostic nursing home institute centre center research charitable trust multispeciality dental eye heart children health insurance assurance general mutual life limited ltd pvt desk section department bank".split())
@@ -48,9 +48,9 @@ _NAME = re.compile(r"(?:\p{Lu}\.(?:\s?\p{Lu}\.)*|\p{Lu}[\p{L}'’-]+|\p{Lu}(?=\s
 _WORDS = re.compile(r"[\p{L}\p{N}]+(?:[/'’-][\p{L}\p{N}-]+)*|[^\s\p{L}\p{N}]")
 
 
-def name_spans(text: str) -> Iterator[tuple[int, int]]:
-    """All runs of one to four capitalised words or initials, with every part of them."""
-    tokens = [(m.start(), m.end()) for m in _NAME.finditer(text)]
+def name_spans(text: str, ordinary: frozenset[str]) -> Iterator[tuple[int, int]]:
+    """All runs of two to four capitalised words or initials, with every part of them; no run goes over a word of ordinary language."""
+    tokens = [(m.start(), m.end()) for m in _NAME.finditer(text) if (w := m.group().lower()) not in ordinary and w not in ORGANISATION and w not in TITLES]
     for i, (a, _) in enumerate(tokens):
         last = a
         for k in range(i, min(i + 4, len(tokens))):
@@ -58,15 +58,15 @@ def name_spans(text: str) -> Iterator[tuple[int, int]]:
             if k > i and text[last:s] not in (" ", ""):
                 break
             last = e
-            if e - a >= 4 and re.search(r"\p{L}{3}", text[a:e]):
+            if k > i and e - a >= 4 and re.search(r"\p{L}{3}", text[a:e]):
                 yield a, e
 
 
-def candidates(text: str) -> Iterator[tuple[str, int, int]]:
+def candidates(text: str, ordinary: frozenset[str] = frozenset()) -> Iterator[tuple[str, int, int]]:
     for kind in ("email", "phone", "id_number", "address"):
         for m in GENERATORS[kind].finditer(text, overlapped=kind in ("phone",)):
             yield kind, m.start(), m.end()
-    for a, b in name_spans(text):
+    for a, b in name_spans(text, ordinary):
         yield "person", a, b
 
 
@@ -127,6 +127,7 @@ def features(text: str, kind: str, a: int, b: int, ordinary: frozenset[str]) ->
 
 #: Sentence forms for training; {N} person, {E} e-mail, {P} phone, {A} address, {Z} 12-figure number, {T} tax id, {V} voter card, {Q} passport.
 WITH = (
+    "Contact {N} on {P} for the original papers.", "Tel. {P} / {P}", "Wtsapp {P}, mail {E}", "The chest X-ray was seen by Dr. {N}.",
     "I, {N}, declare that the bills are true.", "Insured: {N} Room {d}", "Name of Patient: {N}", "Treating consultant: Dr. {N}", "Dr. {N} and Dr. {N} signed the consent form.", "The patient {N} was brought by a relative.",
     "Sd/- {N}", "The file was collected by {N} yesterday.", "Prepared by {N}, checked by {N}.", "Permanent address of Mrs. {N} is {A}.", "Correspondence goes to {N}, {A}.", "The witness {N} of {A} confirmed the date.", "The maid, {N}, opened the door at {A}.",
     "W/o Shri {N}, {A}", "The insured resides at {A}.", "Address: {A}", "Contact {N} on {P} for the original papers.", "Please ring {N} after six: {P}.", "The caller, Mr. {N}, gave {P} as callback number.", "Emergency contact: {N} (brother) {P}", "Tel. {P} / {P}", "Mobile: {P}",
@@ -134,7 +135,7 @@ WITH = (
     "Tax id {T} does not belong to {N}.", "Nominee {N}, PAN {T}.", "Voter card {V} was shown at the counter.", "Passport no. {Q} was copied.", "S/o {N} of {A}", "Attention {N}, phone {P}.", "My father {N} can be reached on {P}.", "The driver {N} lives at {A}.", "Smt. {N} paid at the counter.", "Signed by {N}.", "Driving was denied by Kum. {N}.", "Shri {N} is my guardian.", "Discharged by Dr. {N}, M.D., in the evening.",
 )
 WITHOUT = (
-    "Supporting vouchers for ₹ {6}.{2} have not been produced.", "Sub Total ₹{6}.{2}", "Payment of ₹{6} will be transferred.", "The final bill of ₹ {5}.{2} was signed for.", "Registration ₹ {6}", "The claim no. {6}-B was registered.", "Claim Form Part B",
+    "The chest X-ray taken on 12.03.2024 did not reveal any abnormality.", "Supporting vouchers for ₹ {6}.{2} have not been produced.", "Sub Total ₹{6}.{2}", "Payment of ₹{6} will be transferred.", "The final bill of ₹ {5}.{2} was signed for.", "Registration ₹ {6}", "The claim no. {6}-B was registered.", "Claim Form Part B",
     "Policy SWP{7} is active.", "Policy SWP{8} was in force.", "Claim CL{8} replaces claim CL{6}.", "Lot {6} of the implant was used.", "Order {5}-{6} was cancelled.", "Regn. No. {6} of the hospital expired.", "The receipt no. {0} was attached.", "UTR {1} was credited.", "The tariff of {H}, {C} applies.", "The hospital {H} is listed.", "The grievance was escalated to the nodal officer of {C} Health.",
     "Room Charges : Rs. {6}", "Sub Total INR {5}.00", "Interim bills were raised on 2024-03-1{x} for Rs. {5}.", "Blood pressure remained within acceptable limits throughout the stay.", "Consultation Fee .... Rs. {5}", "Medicines and Consumables : INR {6}", "CT Scan Abdomen Rs.{5}", "The Regional Manager of {C} wants to see the bill.", "Chemotherapy cycles were administered.", "Our medical team has verified the tariff of {H} in response to the query.",
     "The policy SWP{8} was in force during the entire period.", "The accident was reported at the nearest police station in {C}.", "Bill no. {5} of {H} dated 12.03.2024.", "Account {1} was debited.", "The claim was registered under reference no. {6} and assigned.", "The Insurer may call for additional documents.", "Liver Function Test : Rs. {6}", "MRI Brain INR {5}", "Operation Theatre .... Rs {6}", "Diet Charges INR {5}", "Nursing Charges Rs. {5}", "X-Ray Chest PA : Rs {5}", "An ultrasound of the abdomen showed stones.", "Batch {0} of the medicine was recalled.", "Invoice {1} was paid.", "The discharge card mentions K80.2 as the primary code.", "The visit to {H} took 3 hours.", "The insurer returned the bill during the visit to {H}.", "The third party administrator has forwarded the complete file to {I}.", "The investigator approved the tariff of {H} without further comment.", "The hospital {H} is listed.", "The grievance was escalated to the nodal officer of {I}.", "{H} has replied.", "{I} has paid.", "The field investigation at {C} ended.", "The regional office in {C} closed at 5.", "Advance payment of Rs {5} was collected at the admission counter.",
@@ -209,7 +210,7 @@ def span_model(seed: int = 3) -> tuple[Boosted, tuple[float, ...]]:
             t, spans = _filled(draw.choice(WITH if draw.random() < 0.55 else WITHOUT), draw)
             truth |= {(k, a + len(text), b + len(text)) for k, a, b in spans}
             text += t + (draw.choice((" ", " ", "\n")) if t.endswith(".") else "\n")
-        for kind, a, b in candidates(text):
+        for kind, a, b in candidates(text, ordinary):
             rows.append(features(text, kind, a, b, ordinary))
             label.append((kind, a, b) in truth)
             kinds.append(TYPES.index(kind))
@@ -249,21 +250,18 @@ def _is_organisation(text: str, a: int, b: int) -> bool:
     return any(w.lower() in ORGANISATION for w in re.findall(r"\p{L}+", text[a:b])) or bool(after and after.group(1)[0].isupper() and after.group(1).lower() in ORGANISATION)
 
 
-def spans_of(text: str, model: Boosted, limits: tuple[float, ...], ordinary: frozenset[str]) -> list[tuple[str, int, int]]:
-    """The accepted spans of a flattened text, none overlapping another."""
-    found = list(dict.fromkeys(candidates(text)))
-    if not found:
-        return []
-    p = model.probability(np.array([features(text, k, a, b, ordinary) for k, a, b in found]))
-    kept = sorted(((q, b - a, k, a, b) for q, (k, a, b) in zip(p, found) if q >= limits[TYPES.index(k)]), reverse=True)
-    used, out = [], []
-    for _, _, k, a, b in kept:
-        if k == "person" and _is_organisation(text, a, b):
+def spans_of(texts: list[str], model: Boosted, limits: tuple[float, ...], ordinary: frozenset[str]) -> list[list[tuple[str, int, int]]]:
+    """The accepted spans of each flattened text, none overlapping another; the trees run over all texts together."""
+    found = [(n, *c) for n, text in enumerate(texts) for c in dict.fromkeys(candidates(text, ordinary))]
+    p = model.probability(np.array([features(texts[n], k, a, b, ordinary) for n, k, a, b in found])) if found else []
+    kept = sorted(((n, -q, a - b, k, a, b) for q, (n, k, a, b) in zip(p, found) if q >= limits[TYPES.index(k)]))
+    out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
+    for n, _, _, k, a, b in kept:
+        if k == "person" and _is_organisation(texts[n], a, b):
             continue
-        if all(b <= s or a >= e for s, e in used):
-            used.append((a, b))
-            out.append((k, a, b))
-    return sorted(out, key=lambda t: t[1])
+        if all(b <= s or a >= e for _, s, e in out[n]):
+            out[n].append((k, a, b))
+    return [sorted(x, key=lambda t: t[1]) for x in out]
 
 
 #: The words of ordinary language that are sent to the workers; more than this isn't language.
@@ -272,7 +270,7 @@ MAX_WORDS = 500_000
 
 def ordinary_words(texts: DataFrame) -> frozenset[str]:
     """Words met in small letters at least three times over all texts, and as often as capitalised ones at least a fifth of the time."""
-    words = texts.select(F.explode(F.regexp_extract_all("text", F.lit(r"(?<![A-Za-z@._+-])([A-Za-z]{2,})(?![A-Za-z@_+\[])"), F.lit(1))).alias("w"))
+    words = texts.select(F.explode(F.regexp_extract_all("text", F.lit(r"(?<![A-Za-z0-9@._+-])([A-Za-z]{2,})(?![A-Za-z0-9@_+\[]|[.-][A-Za-z]| ?[\[(](?:at|dot))"), F.lit(1))).alias("w"))
     counted = words.groupBy(F.lower("w").alias("word")).agg(F.count_if(F.col("w") == F.lower("w")).alias("low"), F.count(F.lit(1)).alias("n")).where("low >= 3 AND low >= 0.2 * n")
     rows = counted.select("word").limit(MAX_WORDS + 1).collect()
     if len(rows) > MAX_WORDS:
@@ -291,10 +289,10 @@ def _scan(scans: DataFrame, output: str, schema: str) -> DataFrame:
         for f in frames:
             for at in range(0, len(f), 200):
                 out = []
-                for scan, text in f.iloc[at : at + 200].itertuples(index=False):
-                    lines = text.replace("\r\n", "\n").split("\n")
-                    flat = flattened(lines, furniture(lines, pages))
-                    spans = spans_of(flat, model, limits, ordinary)
+                part = f.iloc[at : at + 200]
+                lines = [t.replace("\r\n", "\n").split("\n") for t in part["text"]]
+                flats = [flattened(x, off) for x, off in zip(lines, furniture_of(lines, pages))]
+                for scan, flat, spans in zip(part["scan_id"], flats, spans_of(flats, model, limits, ordinary)):
                     if output == "spans":
                         out += [(scan, k, re.sub(r"\s*\n\s*", " ", flat[a:b])) for k, a, b in spans]
                     else:

@@ -53,12 +53,32 @@ def shape(line: str) -> str:
 def _alike(a: str, b: str) -> bool:
     if a == b:
         return True
-    if not a or not b or abs(len(a) - len(b)) > 4:
+    if abs(len(a) - len(b)) > 4:
         return False
     x, y = Counter(zip(a, a[1:])), Counter(zip(b, b[1:]))
     return 2 * sum((x & y).values()) >= 0.75 * (len(a) + len(b) - 2)
 
 
+def _likes(shapes: list[str]) -> list[int]:
+    """For each line, how many others are alike. A misread place can't spoil both ends, so likes share their first or last signs."""
+    ends: dict[str, list[int]] = {}
+    for i, s in enumerate(shapes):
+        if len(s) >= 6:
+            ends.setdefault("^" + s[:5], []).append(i)
+            ends.setdefault(s[-5:] + "$", []).append(i)
+    out = [0] * len(shapes)
+    seen = set()
+    for group in ends.values():
+        for k, i in enumerate(group):
+            for j in group[k + 1 :]:
+                if (i, j) not in seen:
+                    seen.add((i, j))
+                    if _alike(shapes[i], shapes[j]):
+                        out[i] += 1
+                        out[j] += 1
+    return out
+
+
 # --- furniture -------------------------------------------------------------------------------------------------
 
 
@@ -70,10 +90,7 @@ def line_features(lines: list[str]) -> np.ndarray:
     first = [int(m.group()) if PAGE.match(x) and (m := re.search(r"\d+", x)) else None for x in clean]
     pages = [i for i, x in enumerate(clean) if PAGE.match(x)]
     rising = {i for k, i in enumerate(pages) if (k and first[pages[k - 1]] is not None and first[i] == first[pages[k - 1]] + 1) or (k + 1 < len(pages) and first[pages[k + 1]] == first[i] + 1)}
-    by_len: dict[int, list[int]] = {}
-    for i, s in enumerate(shapes):
-        if len(s) >= 6:
-            by_len.setdefault(len(s) // 4, []).append(i)
+    likes = _likes(shapes)
     filled = [i for i, x in enumerate(clean) if x]
     where = {i: k for k, i in enumerate(filled)}
     widths = sorted(len(x) for x in clean if x)
@@ -82,8 +99,6 @@ def line_features(lines: list[str]) -> np.ndarray:
     for i, x in enumerate(clean):
         if not x:
             continue
-        s = shapes[i]
-        like = sum(1 for d in (-1, 0, 1) for j in by_len.get(len(s) // 4 + d, []) if j != i and _alike(s, shapes[j])) if len(s) >= 6 else 0
         k = where[i]
         before = clean[filled[k - 1]] if k else ""
         after = clean[filled[k + 1]] if k + 1 < len(filled) else ""
@@ -93,7 +108,7 @@ def line_features(lines: list[str]) -> np.ndarray:
             bool(PAGE.match(x)),
             bool(PAGE_WORD.match(x)),
             i in rising,
-            like,
+            likes[i],
             len(x) / usual,
             caps,
             x.isupper(),
@@ -186,12 +201,21 @@ def furniture_model(seed: int = 5) -> Boosted:
 
 def furniture(lines: list[str], model: Boosted) -> list[bool]:
     """Which lines are running headers or page numbers."""
-    filled = [i for i, t in enumerate(lines) if t.strip()]
-    out = [False] * len(lines)
-    if filled:
-        p = model.probability(line_features(lines)[filled])
-        for i, q in zip(filled, p):
-            out[i] = bool(q >= 0.5)
+    return furniture_of([lines], model)[0]
+
+
+def furniture_of(texts: list[list[str]], model: Boosted) -> list[list[bool]]:
+    """The same for many texts at once: the trees run over all their lines together."""
+    filled = [np.array([bool(t.strip()) for t in lines], dtype=bool) for lines in texts]
+    x = [line_features(lines)[f] for lines, f in zip(texts, filled)]
+    p = model.probability(np.concatenate(x)) if x else np.zeros(0)
+    out, at = [], 0
+    for f in filled:
+        off = np.zeros(len(f), dtype=bool)
+        n = int(f.sum())
+        off[f] = p[at : at + n] >= 0.5
+        at += n
+        out.append(off.tolist())
     return out
 
 
@@ -308,10 +332,13 @@ def events(texts: DataFrame, pages: Boosted) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for at in range(0, len(f), 500):
+            for at in range(0, len(f), 200):
                 out: list[tuple] = []
-                for kind, rid, text in f.iloc[at : at + 500].itertuples(index=False):
-                    out += ((kind, rid, *e) for e in record_events(kind, text, pages))
+                part = list(f.iloc[at : at + 200].itertuples(index=False, name=None))
+                pieces = [text.replace("\r\n", "\n").split("\n") for _, _, text in part]
+                off = iter(furniture_of([p for (kind, _, _), p in zip(part, pieces) if kind == "scan"], pages))
+                for (kind, rid, _), p in zip(part, pieces):
+                    out += ((kind, rid, *e) for e in line_events(p, next(off) if kind == "scan" else [False] * len(p)))
                 yield pd.DataFrame(out, columns=["record_kind", "record_id", "line_no", "kind", "word", "extra", "initial"])
 
     return texts.select("record_kind", "record_id", "text").mapInPandas(run, "record_kind string, record_id bigint, line_no int, kind string, word string, extra string, initial string")
@@ -319,7 +346,10 @@ def events(texts: DataFrame, pages: Boosted) -> DataFrame:
 
 def record_events(kind: str, text: str, pages: Boosted) -> Iterator[tuple]:
     lines = text.replace("\r\n", "\n").split("\n")
-    off = furniture(lines, pages) if kind == "scan" else [False] * len(lines)
+    return line_events(lines, furniture(lines, pages) if kind == "scan" else [False] * len(lines))
+
+
+def line_events(lines: list[str], off: list[bool]) -> Iterator[tuple]:
     for i, o in enumerate(off):
         if o:
             yield i + 1, "furniture", None, None, None
