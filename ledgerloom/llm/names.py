@@ -194,19 +194,23 @@ def _aligned(a: list[str], b: list[str], common: dict[str, int]) -> tuple[float,
     used_a: set[int] = set()
     used_b: set[int] = set()
     matched = []
+    at: set[tuple[int, int]] = set()
     for s, _, i, j in scores:
         if s >= 0.7 and i not in used_a and j not in used_b:
             used_a.add(i)
             used_b.add(j)
             matched.append((s, a[i], b[j]))
+            at.add((i, j))
     left_a = [x for i, x in enumerate(a) if i not in used_a]
     left_b = [x for i, x in enumerate(b) if i not in used_b]
+    parted = False
     for x in list(left_a):  # words run together
         for p, q in ((p, q) for p in b for q in b if p != q and len(p) > 1 and len(q) > 1):
             if similarity(x, p + q) >= 0.85:
                 left_a.remove(x)
                 left_b = [w for w in left_b if w not in (p, q)]
                 matched += [(similarity(x, p + q), p, p), (1.0, q, q)]
+                parted = True
                 break
     full = [m for m in matched if len(m[1]) > 1 and len(m[2]) > 1]
     if left_a or not full or max(len(m[1]) for m in full) < 3:
@@ -214,10 +218,25 @@ def _aligned(a: list[str], b: list[str], common: dict[str, int]) -> tuple[float,
         straight = "".join(a), "".join(b)
         s = max(similarity(*joined), similarity(*straight), similarity(straight[0], "".join(reversed(b))))
         return (s, True) if s >= 0.85 and min(len(straight[0]), len(straight[1])) >= 6 else (0.0, False)
+    if not parted and len(a) > 1 and not _given_names_agree(a, b, at):
+        return 0.0, False
     score = monge_elkan(a, b, like)
     return score, len(full) >= 2 or (len(a) == 1 and len(b) == 1)
 
 
+def _given_names_agree(a: list[str], b: list[str], at: set[tuple[int, int]]) -> bool:
+    """With the surname, which stands first or last, taken away, the first words left must be the ones that match.
+
+    Else a relative whose given name is the other's middle name would be a variant.
+    """
+    for i, j in at:
+        if len(a[i]) > 1 and len(b[j]) > 1 and i in (0, len(a) - 1) and j in (0, len(b) - 1):
+            x, y = [k for k in range(len(a)) if k != i], [k for k in range(len(b)) if k != j]
+            if not x or not y or (x[0], y[0]) in at:
+                return True
+    return False
+
+
 def same_house(a: tuple[str, list[str]], b: tuple[str, list[str]]) -> float:
     own_a, kinds_a = a
     own_b, kinds_b = b
