@@ -476,6 +476,8 @@ def rebuilt(text: str, found: list[tuple[int, str, str, str]]) -> str:
             lead = re.match(r"^[^\p{L}\p{N}]*", tokens[-1]).group() if tokens else ""
             tokens = [*tokens[:-1], lead + joined[0]]
             drop = True
+        if not tokens:
+            continue
         if out and out[-1]:
             out[-1] += " " + " ".join(tokens)
         else:

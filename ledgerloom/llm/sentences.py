@@ -25,6 +25,7 @@ import regex as re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.durable import durable
 from ledgerloom.sources.tables import spread
 
 #: Signs that end a sentence wherever they stand, brackets and quotes, and month names (for ordinals).
@@ -73,8 +74,8 @@ def language(text: str, lang: str | None) -> str:
     return best if score[best] else (said if said in score else "en")
 
 
-def blocks(text: str) -> Iterator[tuple[int, int]]:
-    """Start and end of the units of layout: runs of lines without a blank one, or single list, form or code lines."""
+def blocks(text: str) -> Iterator[tuple[int, int, bool]]:
+    """Start and end of the units of layout, and whether each is one unit whatever it contains: list, form and code lines are; runs of other lines aren't."""
     for m in _BLOCK.finditer(text.replace("\r\n", " \n").replace("\r", "\n")):
         lines, at = [], m.start()
         for line in m.group().split("\n"):
@@ -83,19 +84,19 @@ def blocks(text: str) -> Iterator[tuple[int, int]]:
         kinds = [_kind(x) for _, _, x in lines]
         run = None
         if all(k in ("list", "form", "code", "label") for k in kinds) and (len(kinds) > 1 or kinds[0] in ("list", "code")):
-            yield from ((a, b) for a, b, _ in lines)
+            yield from ((a, b, True) for a, b, _ in lines)
             continue
         for i, ((a, b, _), k) in enumerate(zip(lines, kinds)):
             alone = k == "code" or (k == "bullet") or (k == "list" and (i + 1 == len(kinds) or kinds[i + 1] == "list") and (i == 0 or kinds[i - 1] == "list") and len(kinds) > 1 and kinds.count("list") > 1)
             if alone:
                 if run:
-                    yield run
+                    yield *run, False
                     run = None
-                yield a, b
+                yield a, b, True
             else:
                 run = (run[0] if run else a, b)
         if run:
-            yield run
+            yield *run, False
 
 
 def _kind(line: str) -> str:
@@ -147,7 +148,7 @@ def _is_number(t: str) -> bool:
 
 def count(text: str | None, lang: str | None, into: Counter) -> None:
     """Adds the counts of a text, keyed (language, kind, word)."""
-    for a, b in blocks(text or ""):
+    for a, b, _ in blocks(text or ""):
         block = text[a:b]
         lg = language(block, lang)
         for t in _TOKEN.findall(block):
@@ -223,12 +224,11 @@ class Splitter:
 
     def ends(self, text: str | None, lang: str | None) -> list[int]:
         out: list[int] = []
-        for a, b in blocks(text or ""):
+        for a, b, whole in blocks(text or ""):
             block = text[a:b]
             if not block.strip():
                 continue
-            structural = _kind(block) in ("list", "code") and "\n" not in block
-            if not structural:
+            if not whole:
                 out += [a + e for e in self._inner(block, language(block, lang))]
             last = a + len(block.rstrip())
             if not out or out[-1] < last:
@@ -339,7 +339,7 @@ def statistics(documents: DataFrame, text: str = "text", lang: str = "lang") ->
 
 def learn(documents: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     """The model of all documents."""
-    wide = statistics(documents, text, lang).groupBy("lang", "word").pivot("kind", ["all", "dot", "final", "small", "start", "ordinal", "dots", "finals", "starts", "blocks"]).sum("n").na.fill(0)
+    wide = durable(statistics(documents, text, lang)).groupBy("lang", "word").pivot("kind", ["all", "dot", "final", "small", "start", "ordinal", "dots", "finals", "starts", "blocks"]).sum("n").na.fill(0)
     totals = {r["lang"]: r for r in wide.groupBy("lang").agg(F.sum("all").alias("tokens"), F.max(F.when(F.col("word") == "", F.col("dots"))).alias("dots"), F.max(F.when(F.col("word") == "", F.col("finals"))).alias("finals"), F.max(F.when(F.col("word") == "", F.col("starts"))).alias("starts")).collect()}
     # A starter follows sentence ends more often than chance; a type with a period is worth testing if it has one often.
     kept = wide.where("word <> '' AND ((dot > 0 AND dot >= 0.5 * greatest(`all` - dot, 0) AND length(word) <= 12) OR (start >= 3 AND start >= 0.15 * `all`) OR (ordinal >= 3 AND ordinal >= 0.2 * `all`))")
