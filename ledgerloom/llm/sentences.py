@@ -49,6 +49,7 @@ _LIST = re.compile(r"\s*(?:[-*•‣▪◦·–—]\s+\S|\(?(?:\d{1,3}|[a-zA-Z]|
 _FORM = re.compile(r"\s*\p{L}[\p{L}\p{M} ./()&'-]{0,40}\s?[:：]\s*\S?")
 _LABEL = re.compile(r"\s*(?:\p{Lu}[\p{L}.-]*\s+){1,3}(?:[\p{L}.]*\s*)?[\w/-]*\d[\w/-]*\s*$")
 _CODE = re.compile(r"\s*[!-~]{24,}\s*$")
+_LETTERS = re.compile(r"[\p{L}'’]+")
 _SPACE = re.compile(r"\s+")
 _NEXT = re.compile(r"[\s\"'“”„«»‘’(\[「『（]*([\p{L}\p{N}][\p{L}\p{M}\p{N}'’-]*)")
 _MARK = re.compile(r"[.!?…" + ALWAYS + r"]+|(?<=[\p{Deva}])\|")
@@ -56,20 +57,29 @@ _THAI = re.compile(r"(?<=[\p{Thai}])\s+(?=[\p{Thai}])")
 _LAST = re.compile(r"[^\s(\"“„«「\[,;:/'’]*$")
 _RUN_ON = re.compile(r"(?<=\p{Ll}{3})\.(?=\p{Lu}\p{Ll})")
 _TOKEN = re.compile(r"[\p{L}\p{N}][\p{L}\p{M}\p{N}.'’/-]*")
+_SCRIPTS = tuple((name, re.compile(script)) for name, script in (("ta", r"\p{Tamil}"), ("th", r"\p{Thai}"), ("ur", r"\p{Arabic}"), ("ja", r"[\p{Hiragana}\p{Katakana}]"), ("zh", r"\p{Han}")))
+_DEVANAGARI = re.compile(r"\p{Deva}")
 _QUOTES = {"“": "”", "«": "»", "「": "」", "『": "』", "„": "“", '"': '"', "‹": "›", "（": "）", "(": ")"}
+_OPEN = re.compile("[" + re.escape("".join(_QUOTES)) + "]")
 
 
 def language(text: str, lang: str | None) -> str:
     """The language of a block, by script, then by function words, then by what the document is said to be in."""
     said = (lang or "").strip().lower()[:2]
-    for name, script in (("ta", r"\p{Tamil}"), ("th", r"\p{Thai}"), ("ur", r"\p{Arabic}"), ("ja", r"[\p{Hiragana}\p{Katakana}]"), ("zh", r"\p{Han}")):
-        if re.search(script, text):
+    if text.isascii():
+        return _latin(text, said)
+    for name, script in _SCRIPTS:
+        if script.search(text):
             return said if name == "ur" and said in ("ar", "fa") else name
-    if re.search(r"\p{Deva}", text):
+    if _DEVANAGARI.search(text):
         hindi, marathi = len(_HINDI.findall(text)), len(_MARATHI.findall(text))
         return "mr" if marathi > hindi or (marathi == hindi and said == "mr") else "hi"
-    words = [w.lower() for w in re.findall(r"[\p{L}'’]+", text)]
-    score = {k: sum(w in v for w in words) for k, v in _WORDS.items()}
+    return _latin(text, said)
+
+
+def _latin(text: str, said: str) -> str:
+    words = _LETTERS.findall(text.lower())
+    score = {k: sum(map(v.__contains__, words)) for k, v in _WORDS.items()}
     best = max(score, key=lambda k: (score[k], k == said, k == "en"))
     return best if score[best] else (said if said in score else "en")
 
@@ -128,16 +138,17 @@ def _before(block: str, at: int) -> str:
 def _quoted(block: str) -> list[tuple[int, int]]:
     """Start and end of what is quoted or in brackets; a quote that is never closed is none."""
     spans, i = [], 0
-    while i < len(block):
-        if close := _QUOTES.get(block[i]):
-            j = block.find(close, i + 1)
-            if j < 0 and close == "“":
-                j = block.find("”", i + 1)
-            if block[i] in '("' and j > i + 400:
-                j = -1
-            if j > 0:
-                spans.append((i, j))
-                i = j
+    while m := _OPEN.search(block, i):
+        i = m.start()
+        close = _QUOTES[block[i]]
+        j = block.find(close, i + 1)
+        if j < 0 and close == "“":
+            j = block.find("”", i + 1)
+        if block[i] in '("' and j > i + 400:
+            j = -1
+        if j > 0:
+            spans.append((i, j))
+            i = j
         i += 1
     return spans
 
@@ -151,9 +162,11 @@ def count(text: str | None, lang: str | None, into: Counter) -> None:
     for a, b, _ in blocks(text or ""):
         block = text[a:b]
         lg = language(block, lang)
-        for t in _TOKEN.findall(block):
-            w = re.split(r"['’]", t.rstrip("."))[-1].lower()
-            if w and not _is_number(w) and len(w) <= 40:
+        for t in _TOKEN.findall(block.lower()):
+            w = t.rstrip(".")
+            if "'" in w or "’" in w:
+                w = w.replace("’", "'").rpartition("'")[2]
+            if w and len(w) <= 40 and (w[0].isalpha() or not _is_number(w)):
                 into[lg, "all", w] += 1
         into[lg, "blocks", ""] += 1
         quotes = [q for q in _quoted(block) if block[q[0]] != "("]

@@ -47,17 +47,33 @@ def folded_method(method: Column) -> Column:
 
 def iso_date(value: Column) -> Column:
     """The day a text names, day first unless it begins with the year; null for partial and impossible ones."""
-    text = F.regexp_replace(F.lower(F.trim(value)), r"[./,\s-]+", "-")
-    text = F.regexp_replace(text, r"^(\d{1,2})-([a-z]{3})[a-z]*-(\d{4})$", "$1-$2-$3")
-    text = F.concat(F.regexp_extract(text, r"^(\d{1,2}-)?", 0), F.initcap(F.regexp_replace(text, r"^(\d{1,2}-)?", "")))
-    at = lambda shape, pattern: F.try_to_timestamp(F.when(text.rlike(shape), text), F.lit(pattern)).cast("date")
-    day = F.coalesce(
-        at(r"^\d{4}-\d{1,2}-\d{1,2}$", "y-M-d"),
-        at(r"^\d{1,2}-\d{1,2}-\d{4}$", "d-M-y"),
-        at(r"^\d{1,2}-\d{1,2}-\d{2}$", "d-M-yy"),
-        at(r"^\d{1,2}-[A-Z][a-z]{2}-\d{4}$", "d-MMM-y"),
+    return F.get(iso_dates(F.array(value)), F.lit(0))
+
+
+def iso_dates(values: Column) -> Column:
+    """iso_date of each member of an array. The members are bound by lambdas, so that each text is cleaned once and not in every branch."""
+    text = F.transform(values, lambda v: F.regexp_replace(F.lower(F.trim(v)), r"[./,\s-]+", "-"))
+    parts = F.transform(text, lambda t: F.split(t, "-"))
+    day = F.transform(parts, _day)
+    return F.transform(day, lambda d: F.when(F.year(d).between(1850, 2100), d))
+
+
+#: The first three letters of month names, in their order.
+_MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
+
+
+def _day(p: Column) -> Column:
+    """DATE of the three parts of a text, null if they are none."""
+    number = lambda i: F.get(p, F.lit(i)).try_cast("int")
+    size = lambda i: F.length(F.get(p, F.lit(i)))
+    named = F.array_position(F.array(*map(F.lit, _MONTHS)), F.substring(F.get(p, F.lit(1)), 1, 3)).cast("int")
+    month = F.when(F.get(p, F.lit(1)).rlike("^[a-z]{3,9}$"), F.nullif(named, F.lit(0))).when(size(1) <= 2, number(1))
+    iso = size(0) == 4
+    year = F.when(iso, number(0)).when(size(2) == 4, number(2)).when((size(2) == 2) & (size(1) <= 2), 2000 + number(2))
+    at = F.when(iso, F.when(size(2) <= 2, number(2))).when(size(0) <= 2, number(0))
+    return F.when(
+        (F.size(p) == 3) & year.isNotNull() & month.between(1, 12) & at.between(1, 31), F.try_to_timestamp(F.concat_ws("-", year, month, at), F.lit("y-M-d")).cast("date")
     )
-    return F.when(F.year(day).between(1850, 2100), day)
 
 
 def _folded(value: Column) -> Column:
@@ -81,7 +97,7 @@ def _values(extractions: DataFrame) -> DataFrame:
         AMOUNT,
     ).where("claim_no IS NOT NULL AND rec_id IS NOT NULL")
     can_be = {
-        "policy_number": F.col("policy_number").rlike(r"\d.*\d.*\d.*\d") & F.col("policy_number").rlike(r"^\s*[\p{L}\p{N}][\p{L}\p{N} /._-]{3,30}\s*$") & iso_date(F.col("policy_number")).isNull(),
+        "policy_number": F.col("policy_number").rlike(r"\d.*\d.*\d.*\d") & F.col("policy_number").rlike(r"^\s*[\p{L}\p{N}][\p{L}\p{N} /._-]{3,30}\s*$"),
         "hospital_name": F.col("hospital_name").rlike(r"\p{L}{2}"),
         "patient_name": F.col("patient_name").rlike(r"\p{L}{2}") & ~F.col("patient_name").rlike(r"(?i)\b(hospital|clinic|diagnostics|nursing home)\b"),
     }
@@ -91,10 +107,10 @@ def _values(extractions: DataFrame) -> DataFrame:
         "patient_name": F.array_join(F.array_sort(F.split(F.trim(F.regexp_replace(F.lower("patient_name"), r"[^\p{L}\p{N}]+", " ")), " ")), " "),
     }
     cells = [F.when(usable_text(F.col(c)) & can_be[c], F.struct(F.lit(c).alias("field"), canonical[c].alias("value"))) for c in TEXTS]
-    cells += [F.when(iso_date(F.col(c)).isNotNull(), F.struct(F.lit(c).alias("field"), iso_date(F.col(c)).cast("string").alias("value"))) for c in DATES]
+    days = F.zip_with(F.array(*map(F.lit, DATES)), iso_dates(F.array(*DATES)), lambda c, d: F.when(d.isNotNull(), F.struct(c.alias("field"), d.cast("string").alias("value"))))
     amount = F.col(AMOUNT).cast("double")
     cells.append(F.when((amount > 0) & (amount <= MOST), F.struct(F.lit(AMOUNT).alias("field"), F.round(amount, 2).cast("string").alias("value"))))
-    return rows.select("rec_id", "extracted_at", "claim_no", "method", F.array_compact(F.array(*cells)).alias("cells"))
+    return rows.select("rec_id", "extracted_at", "claim_no", "method", F.array_compact(F.concat(F.array(*cells), days)).alias("cells"))
 
 
 def survivors(extractions: DataFrame, methods: DataFrame) -> DataFrame:
