@@ -14,6 +14,7 @@ mentions count once; ties go to the lesser mention_id; two names that are both c
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import regex as re
@@ -75,15 +76,22 @@ def distance(a: str, b: str, most: int = 3) -> int:
     return last[-1]
 
 
+#: What scanners take for what.
+_MISREAD = (("rn", "m"), ("cl", "d"), ("ii", "u"), ("vv", "w"), ("c", "e"), ("f", "t"), ("i", "l"))
+
+
+@lru_cache(300_000)
 def similarity(a: str, b: str) -> float:
-    """1 less the edit distance over the longer length; misread letters (rn for m, cl for d, ii for u) cost nothing."""
+    """1 less the edit distance over the longer length; misread letters (rn for m, cl for d, ii for u) cost nothing. Words recur, so answers are kept."""
     if a == b:
         return 1.0
+    n = max(len(a), len(b))
+    if n - min(len(a), len(b)) > 5 or len(set(a) & set(b)) * 2 < min(len(set(a)), len(set(b))) - 1:
+        return 0.0
     d = distance(a, b)
-    if d:
-        for long, short in (("rn", "m"), ("cl", "d"), ("ii", "u"), ("vv", "w"), ("c", "e"), ("f", "t"), ("i", "l")):
+    for long, short in _MISREAD if d else ():
+        if long in a or long in b:
             d = min(d, distance(a.replace(long, short), b.replace(long, short)))
-    n = max(len(a), len(b))
     return max(0.0, 1 - d / n) if d <= 3 else 0.0
 
 
@@ -123,15 +131,22 @@ def policy(number: str | None) -> str:
     return head + digits if sum(c.isdigit() for c in digits) >= 4 else ""
 
 
+@lru_cache(100_000)
+def _kind_of(w: str) -> str | None:
+    """The kind of house a word names, misspelt or not."""
+    if w in _KIND or len(w) < 4:
+        return _KIND.get(w)
+    near = [(distance(w, k, 2), k) for k in _KIND if len(k) >= 4 and abs(len(k) - len(w)) <= 2]
+    d, k = min(near, default=(9, ""))
+    return _KIND[k] if d <= (2 if len(k) >= 7 else 1) else None
+
+
 def house(name: str | None) -> tuple[str, list[str]]:
     """An organisation's own name, run together, and the kinds it names."""
     own, kinds = [], []
     tokens = [w for w in words(name) if w not in LEGAL and w not in ("of", "for")]
     for w in tokens:
-        kind = _KIND.get(w)
-        if not kind and len(w) >= 4:
-            best = max(_KIND, key=lambda k: (similarity(w, k) if len(k) >= 4 else 0, k))
-            kind = _KIND[best] if len(best) >= 4 and distance(w, best) <= (2 if len(best) >= 7 else 1) else None
+        kind = _kind_of(w)
         if kind:
             kinds.append(kind)
         else:
@@ -179,7 +194,7 @@ def same_person(a: list[str], b: list[str], common: dict[str, int]) -> tuple[flo
     if not best[0]:  # one long word may be two that were run together
         for x, y in ((a, b), (b, a)):
             for i, w in enumerate(x):
-                if len(w) >= 8 and w not in common:
+                if len(w) >= 8 and w not in common and not any(w == v for v in y):
                     best = max([best, *(_aligned(x[:i] + [w[:k], w[k:]] + x[i + 1 :], y, common) for k in range(3, len(w) - 2))])
     return best
 
@@ -255,8 +270,8 @@ def same_house(a: tuple[str, list[str]], b: tuple[str, list[str]]) -> float:
     return s
 
 
-def nodes(mentions: DataFrame) -> DataFrame:
-    """(id, mention_ids ARRAY, kind, name, own, evidence, k1, k2, keys): mentions alike in all compared parts are one row."""
+def nodes(mentions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, kind, name, kinds, k1, k2, keys), mentions alike in all compared parts being one row, and (id, mention_id)."""
     hasher = (ROWS, bands_for(MEET_AT, RECALL, ROWS))
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -274,7 +289,9 @@ def nodes(mentions: DataFrame) -> DataFrame:
 
     rows = mentions.select("mention_id", "entity_kind", "full_name", F.col("dob").cast("string"), F.col("policy_number").cast("string"), F.col("city").cast("string"), F.col("pin").cast("string")).where("mention_id IS NOT NULL AND full_name IS NOT NULL").distinct()
     parsed = spread(rows).mapInPandas(parse, "mention_id bigint, kind string, name string, kinds string, k1 string, k2 string").where("name <> '' AND (k1 <> '' OR k2 <> '')")
-    alike = parsed.groupBy("kind", "name", "kinds", "k1", "k2").agg(F.min("mention_id").alias("id"), F.sort_array(F.collect_set("mention_id")).alias("mention_ids"))
+    # One row per way of writing; the mentions of one stay apart, as there may be any number of them.
+    parsed = durable(parsed)
+    alike = parsed.groupBy("kind", "name", "kinds", "k1", "k2").agg(F.min("mention_id").alias("id"))
 
     def sign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         minhash = MinHasher(*hasher)
@@ -283,7 +300,7 @@ def nodes(mentions: DataFrame) -> DataFrame:
             yield f
 
     signed = alike.select("id", "kind", "name", "kinds", "k1", "k2").mapInPandas(sign, "id bigint, kind string, name string, kinds string, k1 string, k2 string, keys array<bigint>")
-    return durable(signed), durable(alike.select("id", F.explode("mention_ids").alias("mention_id")))
+    return durable(signed), parsed.join(alike, ["kind", "name", "kinds", "k1", "k2"]).select("id", "mention_id")
 
 
 def variant_links(signed: DataFrame) -> DataFrame:
@@ -293,7 +310,7 @@ def variant_links(signed: DataFrame) -> DataFrame:
     common = frequency.join(counts, "w").groupBy("id").agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws("=", "w", F.col("n").cast("string")))), " ").alias("common"))
     features = durable(signed.drop("keys").join(common, "id", "left").na.fill({"common": ""}))
     evidence = F.when(F.col("kind") == "p", F.array(F.concat(F.lit("d"), "k1"), F.concat(F.lit("p"), "k2"))).otherwise(
-        F.array(F.concat(F.lit("c"), F.substring("k1", 1, 3)), F.concat(F.lit("e"), F.when(F.length("k1") >= 4, F.substring("k1", -4, 4)).otherwise("")), F.concat(F.lit("z"), "k2"))
+        F.array(F.concat(F.lit("c"), F.substring("k1", 1, 3)), F.concat(F.lit("e"), F.substring("k1", 4, 3)), F.concat(F.lit("z"), "k2"))
     )
     members = (
         signed.select("id", "keys", "name", F.explode(F.filter(evidence, lambda e: F.length(e) > 1)).alias("e"))
@@ -303,7 +320,8 @@ def variant_links(signed: DataFrame) -> DataFrame:
 
     def verify(pairs: DataFrame) -> DataFrame:
         side = lambda s: features.select(F.col("id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("kind", "name", "kinds", "k1", "k2", "common")])
-        both = pairs.join(side("a"), "a").join(side("b"), "b")
+        # Comparing costs far more than the bytes of a pair tell: spread by row, not by size.
+        both = spread(pairs.join(side("a"), "a").join(side("b"), "b"))
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
