@@ -238,7 +238,9 @@ _DSQL = "coalesce(CASE WHEN regexp_matches(t, '^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$'
 
 @book.add("e44_parse_dates", f"WITH x AS (SELECT DISTINCT * FROM claim_extractions), u AS (SELECT rec_id, 'dob' AS field, dob AS raw FROM x UNION ALL SELECT rec_id, 'admission_date', admission_date FROM x UNION ALL SELECT rec_id, 'discharge_date', discharge_date FROM x), t AS (SELECT rec_id, field, regexp_replace(trim(raw), '[./\\s,-]+', '-', 'g') AS t FROM u WHERE raw IS NOT NULL) SELECT rec_id, field, {_DSQL} AS day FROM t WHERE {_DSQL} IS NULL OR year({_DSQL}) > 1000")
 def _e44(s, d):
-    u = extractions(s, d).unpivot("rec_id", ["dob", "admission_date", "discharge_date"], "field", "raw").where("raw IS NOT NULL")
+    # inline rather than unpivot: the generated code of an Expand under this expression doesn't compile.
+    cells = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("raw")) for c in ("dob", "admission_date", "discharge_date")])
+    u = extractions(s, d).select("rec_id", F.inline(cells)).where("raw IS NOT NULL")
     return u.select("rec_id", "field", D.parse_date(F.col("raw")).alias("day"))
 
 
