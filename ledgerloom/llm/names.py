@@ -58,22 +58,28 @@ _LOOKS = str.maketrans("015", "ols")
 
 
 def distance(a: str, b: str, most: int = 3) -> int:
-    """Edit distance with swaps of neighbours, cut off above `most`."""
-    if abs(len(a) - len(b)) > most:
+    """Edit distance with swaps of neighbours, or most + 1 if it is more; all cells of a column are worked as the bits of one number."""
+    if a == b:
+        return 0
+    n = len(a)
+    if abs(n - len(b)) > most:
         return most + 1
-    last2: list[int] = []
-    last = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        row = [i]
-        for j, y in enumerate(b, 1):
-            d = min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                d = min(d, last2[j - 2] + 1)
-            row.append(d)
-        if min(row) > most:
-            return most + 1
-        last2, last = last, row
-    return last[-1]
+    if not n or not b:
+        return max(n, len(b))
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    full, last = (1 << n) - 1, 1 << (n - 1)
+    up, down, diagonal, before, d = full, 0, 0, 0, n
+    for c in b:
+        here = at.get(c, 0)
+        swap = ((~diagonal & here) << 1) & before
+        diagonal = ((((here & up) + up) ^ up) | here | down | swap) & full
+        right, left = (down | ~(diagonal | up)) & full, diagonal & up
+        d += bool(right & last) - bool(left & last)
+        right, left = ((right << 1) | 1) & full, (left << 1) & full
+        up, down, before = (left | ~(diagonal | right)) & full, right & diagonal, here
+    return d if d <= most else most + 1
 
 
 #: What scanners take for what.
@@ -191,11 +197,13 @@ def _inner(common: dict[str, int]):
 def same_person(a: list[str], b: list[str], common: dict[str, int]) -> tuple[float, bool]:
     """Likeness in 0..1 (0: can't be variants of one name) and whether the given names agree by more than initials."""
     best = _aligned(a, b, common)
-    if not best[0]:  # one long word may be two that were run together
+    if not best[0]:  # one long word may be two that were run together, where a word of the other name begins or ends it
         for x, y in ((a, b), (b, a)):
             for i, w in enumerate(x):
-                if len(w) >= 8 and w not in common and not any(w == v for v in y):
-                    best = max([best, *(_aligned(x[:i] + [w[:k], w[k:]] + x[i + 1 :], y, common) for k in range(3, len(w) - 2))])
+                if len(w) < 8 or w in common or w in y:
+                    continue
+                cuts = {len(v) + e for v in y if len(v) >= 3 and w[:2] == v[:2] for e in (-1, 0, 1)} | {len(w) - len(v) + e for v in y if len(v) >= 3 and w[-2:] == v[-2:] for e in (-1, 0, 1)}
+                best = max([best, *(_aligned(x[:i] + [w[:k], w[k:]] + x[i + 1 :], y, common) for k in sorted(cuts) if 3 <= k <= len(w) - 3)])
     return best
 
 
