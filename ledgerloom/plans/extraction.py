@@ -333,3 +333,40 @@ def _v01(s, d):
     t = F.lower("description")
     score = sum((F.when(t.rlike(p), w).otherwise(0.0) for p, w in _GIB), F.lit(0.0)) + F.when(F.length(F.regexp_replace(t, "[^aeiou]", "")) < 0.15 * F.length(F.regexp_replace(t, "[^a-z]", "")), 1.5).otherwise(0.0)
     return items(s, d).where("description IS NOT NULL").select("claim_id", "pos", score.alias("score"), (score >= 2).alias("is_gibberish"), F.round(F.least(F.lit(1.0), score / 3), 4).alias("confidence"))
+
+
+_LABEL = r"^\s*(Name of Patient|Insured|Address|Mobile|E-mail|ID proof|Treating consultant)\s*:\s*(.+?)\s*$"
+
+
+@book.add("e20_label_values", f"WITH {_LINES} SELECT scan_id, line_no, regexp_extract(line, '{_LABEL}', 1) AS label, regexp_extract(line, '{_LABEL}', 2) AS filled FROM lines WHERE regexp_matches(line, '{_LABEL}')")
+def _e20(s, d):
+    return lines(s, d).where(F.col("line").rlike(_LABEL)).select("scan_id", "line_no", F.regexp_extract("line", _LABEL, 1).alias("label"), F.regexp_extract("line", _LABEL, 2).alias("filled"))
+
+
+_BY_CLAIM = "x AS (SELECT DISTINCT * FROM claim_extractions), n AS (SELECT TRY_CAST(regexp_extract(file_name, '^0*([0-9]+)', 1) AS BIGINT) AS claim_no, * FROM x), u AS (SELECT * FROM n WHERE claim_no IS NOT NULL)"
+
+
+def by_claim(s, d):
+    return extractions(s, d).withColumn("claim_no", F.regexp_extract("file_name", "^0*([0-9]+)", 1).try_cast("bigint")).where("claim_no IS NOT NULL")
+
+
+@book.add("e52_best_per_label", f"WITH {_BY_CLAIM}, c AS (SELECT claim_no, 'hospital' AS label, hospital_name AS v, confidence, rec_id FROM u UNION ALL SELECT claim_no, 'patient', patient_name, confidence, rec_id FROM u), r AS (SELECT *, row_number() OVER (PARTITION BY claim_no, label ORDER BY confidence DESC, rec_id) AS k FROM c WHERE v IS NOT NULL AND trim(v) <> '' AND confidence IS NOT NULL) SELECT claim_no, label, v AS best, confidence FROM r WHERE k = 1")
+def _e52(s, d):
+    cells = F.array(F.struct(F.lit("hospital").alias("label"), F.col("hospital_name").alias("v")), F.struct(F.lit("patient").alias("label"), F.col("patient_name").alias("v")))
+    c = by_claim(s, d).select("claim_no", "confidence", "rec_id", F.inline(cells)).where("v IS NOT NULL AND trim(v) <> '' AND confidence IS NOT NULL")
+    return c.groupBy("claim_no", "label").agg(F.max_by(F.struct("v", "confidence"), F.struct("confidence", -F.col("rec_id"))).alias("b")).select("claim_no", "label", F.col("b.v").alias("best"), "b.confidence")
+
+
+@book.add("e53_hybrid_precedence", f"WITH {_BY_CLAIM}, a AS (SELECT claim_no, max(policy_number) AS a, max(confidence) AS ca FROM u WHERE lower(trim(extraction_method)) = 'pymupdf' AND regexp_matches(policy_number, '[0-9]{{4}}') GROUP BY 1), b AS (SELECT claim_no, max(policy_number) AS b FROM u WHERE lower(trim(extraction_method)) = 'tesseract' AND regexp_matches(policy_number, '[0-9]{{4}}') GROUP BY 1) SELECT coalesce(a.claim_no, b.claim_no) AS claim_no, CASE WHEN ca >= 0.7 THEN a ELSE coalesce(b, a) END AS policy, CASE WHEN ca >= 0.7 OR b IS NULL THEN 'text' ELSE 'scan' END AS source FROM a FULL JOIN b ON a.claim_no = b.claim_no")
+def _e53(s, d):
+    """A confident first extractor, else the second, else the unsure first: one aggregate instead of a full join of the table with itself."""
+    m = F.lower(F.trim("extraction_method"))
+    u = by_claim(s, d).where(F.col("policy_number").rlike("[0-9]{4}") & m.isin("pymupdf", "tesseract"))
+    g = u.groupBy("claim_no").agg(F.max(F.when(m == "pymupdf", F.col("policy_number"))).alias("a"), F.max(F.when(m == "pymupdf", F.col("confidence"))).alias("ca"), F.max(F.when(m == "tesseract", F.col("policy_number"))).alias("b"))
+    return g.select("claim_no", F.when(F.col("ca") >= 0.7, F.col("a")).otherwise(F.coalesce("b", "a")).alias("policy"), F.when((F.col("ca") >= 0.7) | F.col("b").isNull(), "text").otherwise("scan").alias("source"))
+
+
+@book.add("v18_field_checks", f"WITH {CLAIMS_SQL} SELECT claim_id, coalesce(year(date_of_service) BETWEEN 1900 AND 2030, false) AS date_ok, coalesce(billed_amount > 0 AND billed_amount <= 10000000, false) AS amount_ok, coalesce(regexp_matches(npi_number, '^[0-9]{{10}}$'), false) AS npi_ok, coalesce(date_of_discharge >= date_of_admission, false) AS stay_ok FROM claims")
+def _v18(s, d):
+    ok = lambda c, n: F.coalesce(c, F.lit(False)).alias(n)
+    return claims(s, d).select("claim_id", ok(F.year("date_of_service").between(1900, 2030), "date_ok"), ok((F.col("billed_amount") > 0) & (F.col("billed_amount") <= 10_000_000), "amount_ok"), ok(F.col("npi_number").rlike("^[0-9]{10}$"), "npi_ok"), ok(F.col("date_of_discharge") >= F.col("date_of_admission"), "stay_ok"))

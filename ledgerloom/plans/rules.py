@@ -210,3 +210,32 @@ def _r07z(s, d):
     c = claims(s, d, "claim_id", "room_type", "billed_amount").where("billed_amount > 0")
     p = c.groupBy("room_type").agg(F.avg("billed_amount").alias("m"), F.stddev_pop("billed_amount").alias("sd"))
     return c.join(p, "room_type").where("sd > 0").select("claim_id", F.round((F.col("billed_amount") - F.col("m")) / F.col("sd"), 4).alias("z"))
+
+
+_GROUPS = ("Laboratory", "Radiology/Imaging", "Surgery")
+
+
+@book.add("r031_bundles", f"WITH {ITEMS_SQL} SELECT claim_id, category, count(*)::BIGINT AS n, round(0.15 * round(sum(amount), 2), 4) AS savings FROM items WHERE category IN ('Laboratory', 'Radiology/Imaging', 'Surgery') GROUP BY 1, 2 HAVING count(*) >= 3")
+def _r031(s, d):
+    return items(s, d).where(F.col("category").isin(*_GROUPS)).groupBy("claim_id", "category").agg(F.count(F.lit(1)).alias("n"), F.round(0.15 * F.round(F.sum("amount"), 2), 4).alias("savings")).where("n >= 3")
+
+
+@book.add("r034_upcoding", f"WITH {ITEMS_SQL}, p AS (SELECT category, median(amount) AS mid FROM items WHERE amount > 0 GROUP BY 1) SELECT claim_id, pos, round(amount / mid, 4) AS ratio FROM items JOIN p USING (category) WHERE amount > 0 AND round(amount / mid, 6) > 8")
+def _r034(s, d):
+    i = items(s, d).where("amount > 0")
+    p = i.groupBy("category").agg(F.median("amount").alias("mid"))
+    return i.join(p, "category").where("round(amount / mid, 6) > 8").select("claim_id", "pos", F.round(F.col("amount") / F.col("mid"), 4).alias("ratio"))
+
+
+@book.add("r06_reconciliation", f"WITH {CLAIMS_SQL}, {ITEMS_SQL}, f AS (SELECT claim_id, sum(amount) AS pharmacy FROM items WHERE category = 'Pharmacy' AND amount > 0 GROUP BY 1) SELECT claim_id, round(pharmacy, 2) AS pharmacy, coalesce(hospital_bill_total > 0 AND round(pharmacy, 2) > round(0.3 * hospital_bill_total, 2), false) AS flagged FROM claims JOIN f USING (claim_id)")
+def _r06(s, d):
+    f = items(s, d).where("category = 'Pharmacy' AND amount > 0").groupBy("claim_id").agg(F.sum("amount").alias("p"))
+    h = F.col("hospital_bill_total")
+    return claims(s, d, "claim_id", "hospital_bill_total").join(f, "claim_id").select("claim_id", F.round("p", 2).alias("pharmacy"), F.coalesce((h > 0) & (F.round("p", 2) > F.round(0.3 * h, 2)), F.lit(False)).alias("flagged"))
+
+
+@book.add("r05_clinical_consistency", f"WITH {CLAIMS_SQL}, {CODES_SQL}, c AS (SELECT claim_id, bool_or(upper(code) LIKE 'H25%') AS eye_code FROM codes GROUP BY 1) SELECT claim_id, coalesce(eye_code, false) AND NOT list_contains(coalesce(procedure_list, []), 'cataract surgery') AS code_without_procedure, list_contains(coalesce(procedure_list, []), 'dialysis') AND coalesce(length_of_stay, 0) = 0 AS dialysis_without_stay FROM claims LEFT JOIN c USING (claim_id)")
+def _r05(s, d):
+    c = codes(s, d).groupBy("claim_id").agg(F.bool_or(F.upper("code").startswith("H25")).alias("e"))
+    has = lambda p: F.coalesce(F.array_contains("procedure_list", p), F.lit(False))
+    return claims(s, d).join(c, "claim_id", "left").select("claim_id", (F.coalesce("e", F.lit(False)) & ~has("cataract surgery")).alias("code_without_procedure"), (has("dialysis") & (F.coalesce("length_of_stay", F.lit(0)) == 0)).alias("dialysis_without_stay"))
