@@ -65,7 +65,7 @@ def links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], hot: int
     # A bucket with the very same members as another adds nothing; most buckets of clear duplicates repeat.
     sized = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("sum"), F.min("id").alias("first")).where("n > 1")
     kept = sized.groupBy("n", "sum", "first").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
-    members = durable(members.join(kept, "bucket"))
+    members = durable(members.join(kept.hint("merge"), "bucket"))
 
     def pairs(frame: DataFrame) -> DataFrame:
         left = frame.select("bucket", F.col("id").alias("a"))
@@ -84,14 +84,14 @@ def links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], hot: int
             found.append(verify(one.join(one.withColumnRenamed("a", "b"), ["bucket", "cell"]).where("a < b").select("a", "b").distinct()))
             break
         lead = rest.groupBy("bucket").agg(F.min_by("id", F.struct("rank", "id")).alias("leader"))
-        held = rest.join(lead, "bucket")
+        held = rest.join(lead.hint("merge"), "bucket")
         asked = held.where("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
         matched = durable(verify(asked))
         found.append(matched)
         gone = matched.select("a", "b").withColumn("hit", F.lit(True))
-        left = held.where("id <> leader").withColumns({"a": F.least("id", "leader"), "b": F.greatest("id", "leader")}).join(gone, ["a", "b"], "left").where("hit IS NULL").select("bucket", "id", "rank")
+        left = held.where("id <> leader").withColumns({"a": F.least("id", "leader"), "b": F.greatest("id", "leader")}).join(gone.hint("merge"), ["a", "b"], "left").where("hit IS NULL").select("bucket", "id", "rank")
         sizes = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-        left = durable(left.join(sizes, "bucket"))
+        left = durable(left.join(sizes.hint("merge"), "bucket"))
         found.append(verify(pairs(left.where(F.col("n") <= hot))))
         rest = left.where(F.col("n") > hot).drop("n")
         turn += 1
@@ -128,20 +128,20 @@ def star_clusters(edges: DataFrame, rounds: int = 30) -> DataFrame:
     """
     both = edges.select(F.col("a").alias("x"), F.col("b").alias("y"), "weight").unionByName(edges.select(F.col("b").alias("x"), F.col("a").alias("y"), "weight"))
     degree = both.groupBy("x").agg(F.count(F.lit(1)).alias("d"))
-    both = durable(both.join(degree.select(F.col("x").alias("y"), F.struct("d", (-F.col("x")).alias("i")).alias("ry")), "y"))
+    both = durable(both.join(degree.select(F.col("x").alias("y"), F.struct("d", (-F.col("x")).alias("i")).alias("ry")).hint("merge"), "y"))
     free = durable(degree.select("x", F.struct("d", (-F.col("x")).alias("i")).alias("rx")))
     done = []
     for _ in range(rounds):
         if free.isEmpty():
             break
         # A free node meets its free neighbours only.
-        alive = both.join(free, "x").join(free.select(F.col("x").alias("y")), "y", "left_semi")
+        alive = both.join(free.hint("merge"), "x").join(free.select(F.col("x").alias("y")).hint("merge"), "y", "left_semi")
         top = free.join(alive.groupBy("x").agg(F.max("ry").alias("top")), "x", "left")
         centers = top.where("top IS NULL OR rx > top").select(F.col("x").alias("c"))
-        near = alive.join(centers.select(F.col("c").alias("y")), "y", "left_semi").groupBy("x").agg(F.max_by("y", F.struct("weight", "ry")).alias("center"))
+        near = alive.join(centers.select(F.col("c").alias("y")).hint("merge"), "y", "left_semi").groupBy("x").agg(F.max_by("y", F.struct("weight", "ry")).alias("center"))
         new = durable(centers.select(F.col("c").alias("id"), F.col("c").alias("center")).unionByName(near.select(F.col("x").alias("id"), "center")))
         done.append(new)
-        free = durable(free.join(new.select(F.col("id").alias("x")), "x", "left_anti"))
+        free = durable(free.join(new.select(F.col("id").alias("x")).hint("merge"), "x", "left_anti"))
     out = done[0] if done else free.select(F.col("x").alias("id"), F.col("x").alias("center"))
     for more in done[1:]:
         out = out.unionByName(more)

@@ -94,8 +94,9 @@ def similarity(a: str, b: str) -> float:
     n = max(len(a), len(b))
     if n - min(len(a), len(b)) > 5 or len(set(a) & set(b)) * 2 < min(len(set(a)), len(set(b))) - 1:
         return 0.0
-    d = distance(a, b)
-    for long, short in _MISREAD if d else ():
+    # Most pairs of words differ in more places than misread letters could explain: they end here.
+    d = distance(a, b, 5)
+    for long, short in _MISREAD if 0 < d <= 5 else ():
         if long in a or long in b:
             d = min(d, distance(a.replace(long, short), b.replace(long, short)))
     return max(0.0, 1 - d / n) if d <= 3 else 0.0
@@ -329,7 +330,7 @@ def variant_links(signed: DataFrame) -> DataFrame:
     def verify(pairs: DataFrame) -> DataFrame:
         side = lambda s: features.select(F.col("id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("kind", "name", "kinds", "k1", "k2", "common")])
         # Comparing costs far more than the bytes of a pair tell: spread by row, not by size.
-        both = spread(pairs.join(side("a"), "a").join(side("b"), "b"))
+        both = spread(pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b"))
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
@@ -383,4 +384,4 @@ def variant_pairs(groups: DataFrame) -> DataFrame:
     """(mention_a, mention_b), mention_a < mention_b: the pairs that the stated result consists of."""
     a = groups.select("entity_id", F.col("mention_id").alias("mention_a"))
     b = groups.select("entity_id", F.col("mention_id").alias("mention_b"))
-    return a.join(b, "entity_id").where("mention_a < mention_b").select("mention_a", "mention_b")
+    return a.join(b.hint("merge"), "entity_id").where("mention_a < mention_b").select("mention_a", "mention_b")
