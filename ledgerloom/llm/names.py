@@ -26,7 +26,7 @@ from ledgerloom.llm.lsh import MinHasher, bands_for, components, links, qgrams,
 from ledgerloom.sources.tables import spread
 
 #: The least Jaccard similarity of q-grams at which a pair should still meet, and with what chance.
-MEET_AT, RECALL, ROWS = 0.2, 0.985, 1
+MEET_AT, RECALL, ROWS = 0.25, 0.98, 2
 #: Titles before or after names, legal forms, and short forms of kinds of houses.
 TITLES = frozenset("mr mrs ms miss dr shri sri smt kum kumari master mstr prof late md mbbs ms. mast er the m/s messrs".split())
 LEGAL = frozenset("pvt private ltd limited llp inc co company".split())
