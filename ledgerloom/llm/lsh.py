@@ -1,4 +1,4 @@
-"""MinHash banding, verified links without all pairs of a hot bucket, connected components and star clusters.
+"""MinHash banding, verified links of all pairs that share a bucket, connected components and star clusters.
 
 Shared by the operators on names and addresses. Everything stays distributed; loops cut their lineage with durable
 tables, and only counts reach the driver.
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.durable import durable
 
-#: A bucket of more members is worked by leaders, not by pairs.
+#: A bucket of more members is worked in blocks.
 HOT = 128
 
 
@@ -54,51 +54,29 @@ def qgrams(text: str, q: int = 3, pad: str = "#") -> set[str]:
     return {padded[i : i + q] for i in range(len(padded) - q + 1)} if text else set()
 
 
-def links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], hot: int = HOT, rounds: int = 12) -> DataFrame:
-    """The verified links of all buckets. members: (bucket, id BIGINT, rank), the least rank leads; verify: (a, b) -> links with at least (a, b).
+def links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], hot: int = HOT, rounds: int | None = None) -> DataFrame:
+    """The verified links of all buckets. members: (bucket, id BIGINT, rank); verify: (a, b) -> links with at least (a, b).
 
-    Buckets of up to `hot` members give their pairs. In a larger one, every member is held against the leader only;
-    members that match it leave (the leader stands for them), the rest get a new leader. What is still hot after the
-    rounds is compared in blocks of pairs spread over salted tasks, so nothing is lost or capped.
+    Every pair of a bucket is verified, once however many buckets it shares: likeness isn't transitive, so no member can
+    stand for another. A bucket of more than `hot` members is dealt into blocks of about that many, and each pair of
+    blocks is a task's key of its own. rounds is without effect.
     """
-    members = members.select("bucket", "id", "rank").distinct()
+    members = members.select("bucket", "id").distinct()
     # A bucket with the very same members as another adds nothing; most buckets of clear duplicates repeat.
     sized = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("sum"), F.min("id").alias("first")).where("n > 1")
     kept = sized.groupBy("n", "sum", "first").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
     members = durable(members.join(kept.hint("merge"), "bucket"))
 
-    def pairs(frame: DataFrame) -> DataFrame:
-        left = frame.select("bucket", F.col("id").alias("a"))
-        right = frame.select("bucket", F.col("id").alias("b"))
-        return left.join(right.hint("merge"), "bucket").where("a < b").select("a", "b").distinct()
-
-    found = [verify(pairs(members.where(F.col("n") <= hot)))]
-    rest = members.where(F.col("n") > hot).drop("n")
-    turn = 0
-    while not rest.isEmpty():
-        if turn == rounds:
-            block = F.pmod(F.xxhash64("id"), F.lit(64)).cast("int")
-            cells = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.struct(F.least(i, block).alias("i"), F.greatest(i, block).alias("j")))
-            spread = rest.select("bucket", "id", F.explode(cells).alias("cell"))
-            one = spread.select("bucket", "cell", F.col("id").alias("a"))
-            found.append(verify(one.join(one.withColumnRenamed("a", "b"), ["bucket", "cell"]).where("a < b").select("a", "b").distinct()))
-            break
-        lead = rest.groupBy("bucket").agg(F.min_by("id", F.struct("rank", "id")).alias("leader"))
-        held = rest.join(lead.hint("merge"), "bucket")
-        asked = held.where("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
-        matched = durable(verify(asked))
-        found.append(matched)
-        gone = matched.select("a", "b").withColumn("hit", F.lit(True))
-        left = held.where("id <> leader").withColumns({"a": F.least("id", "leader"), "b": F.greatest("id", "leader")}).join(gone.hint("merge"), ["a", "b"], "left").where("hit IS NULL").select("bucket", "id", "rank")
-        sizes = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-        left = durable(left.join(sizes.hint("merge"), "bucket"))
-        found.append(verify(pairs(left.where(F.col("n") <= hot))))
-        rest = left.where(F.col("n") > hot).drop("n")
-        turn += 1
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return durable(out.dropDuplicates(["a", "b"]))
+    small = members.where(F.col("n") <= hot)
+    left, right = small.select("bucket", F.col("id").alias("a")), small.select("bucket", F.col("id").alias("b"))
+    pairs = left.join(right.hint("merge"), "bucket").where("a < b").select("a", "b")
+
+    dealt = members.where(F.col("n") > hot).withColumn("k", F.ceil(F.col("n") / hot).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
+    cells = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda i: F.struct(F.least(i, F.col("block")).alias("i"), F.greatest(i, F.col("block")).alias("j")))
+    side = lambda s: dealt.select("bucket", F.col("id").alias(s), F.col("block").alias(f"block_{s}"), F.inline(cells))
+    # Two members of one block share the cells of that block with all others, but are a pair of its own cell only.
+    crossed = side("a").join(side("b").hint("merge"), ["bucket", "i", "j"]).where("a < b AND i = least(block_a, block_b) AND j = greatest(block_a, block_b)").select("a", "b")
+    return durable(verify(pairs.unionByName(crossed).distinct()))
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
