@@ -79,11 +79,11 @@ def links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], hot: int
     return durable(verify(pairs.unionByName(crossed).distinct()))
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(id, root): the least id of each node's component, by alternating large and small stars."""
     now = durable(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     before = None
-    for _ in range(rounds):
+    while True:
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == before:
             break
@@ -98,20 +98,18 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     return roots.unionByName(now.select(F.col("v").alias("id")).distinct().join(roots.select("id"), "id", "left_anti").withColumn("root", F.col("id")))
 
 
-def star_clusters(edges: DataFrame, rounds: int = 30) -> DataFrame:
+def star_clusters(edges: DataFrame) -> DataFrame:
     """(id, center) of every node with an edge (a, b, weight): stars around nodes of greatest degree.
 
     In each round a free node that no free neighbour outranks (by degree, then lesser id) becomes a center; its free
-    neighbours become satellites of the center they are most similar to. Nodes left without a center stand alone.
+    neighbours become satellites of the center they are most similar to, until no node is free.
     """
     both = edges.select(F.col("a").alias("x"), F.col("b").alias("y"), "weight").unionByName(edges.select(F.col("b").alias("x"), F.col("a").alias("y"), "weight"))
     degree = both.groupBy("x").agg(F.count(F.lit(1)).alias("d"))
     both = durable(both.join(degree.select(F.col("x").alias("y"), F.struct("d", (-F.col("x")).alias("i")).alias("ry")).hint("merge"), "y"))
     free = durable(degree.select("x", F.struct("d", (-F.col("x")).alias("i")).alias("rx")))
     done = []
-    for _ in range(rounds):
-        if free.isEmpty():
-            break
+    while not free.isEmpty():
         # A free node meets its free neighbours only.
         alive = both.join(free.hint("merge"), "x").join(free.select(F.col("x").alias("y")).hint("merge"), "y", "left_semi")
         top = free.join(alive.groupBy("x").agg(F.max("ry").alias("top")), "x", "left")
@@ -123,4 +121,4 @@ def star_clusters(edges: DataFrame, rounds: int = 30) -> DataFrame:
     out = done[0] if done else free.select(F.col("x").alias("id"), F.col("x").alias("center"))
     for more in done[1:]:
         out = out.unionByName(more)
-    return out.unionByName(free.select(F.col("x").alias("id"), F.col("x").alias("center")))
+    return out
