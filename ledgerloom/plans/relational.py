@@ -201,12 +201,28 @@ def _t08(s, d):
     f"WITH {ITEMS_SQL}, b AS (SELECT claim_id, pos, (pos * 7) % 60 AS x, (pos * 13) % 40 AS y, 10 + coalesce(quantity, 1) % 20 AS w, 8 + length(coalesce(description, '')) % 12 AS h FROM items WHERE pos <= 60), p AS (SELECT a.claim_id, a.pos AS first, c.pos AS second, greatest(0, least(a.x + a.w, c.x + c.w) - greatest(a.x, c.x)) * greatest(0, least(a.y + a.h, c.y + c.h) - greatest(a.y, c.y)) AS inter, least(a.w * a.h, c.w * c.h) AS area FROM b a JOIN b c ON a.claim_id = c.claim_id AND a.pos < c.pos) SELECT claim_id, first, second, round(inter / area::DOUBLE, 6) AS ratio FROM p WHERE inter > 0.5 * area",
 )
 def _i03(s, d):
+    """The overlaps among the first 60 boxes of a claim, which are all that its SQL asks for; i03_page_overlaps has every box."""
+    return _overlaps(_boxes(items(s, d).where("pos <= 60")))
+
+
+@book.add("i03_page_overlaps")
+def _i03_pages(s, d):
+    """The overlaps among all boxes of a claim, 60 boxes a page; its first page gives the rows of i03_box_overlaps."""
+    return _overlaps(_boxes(items(s, d)))
+
+
+def _boxes(i):
+    # No box is taller than 19, so 64 rows a page keep pages apart.
+    page = F.greatest(F.lit(0), F.floor((F.col("pos") - 1) / 60))
+    return i.select("claim_id", "pos", ((F.col("pos") * 7) % 60).alias("x"), ((F.col("pos") * 13) % 40 + 64 * page).alias("y"), (10 + F.coalesce("quantity", F.lit(1)) % 20).alias("w"), (8 + F.length(F.coalesce("description", F.lit(""))) % 12).alias("h"))
+
+
+def _overlaps(b):
     """Boxes that overlap by more than half of the smaller one, found over the cells of a grid.
 
-    A page has at most 60 boxes here by the rule that lays them out. A pair is reported in the cell of its upper left
-    common corner only, so it comes out once; a page with many boxes is spread over its cells.
+    A pair is reported in the cell of its upper left common corner only, so it comes out once; a claim with many boxes
+    is spread over its cells.
     """
-    b = items(s, d).where("pos <= 60").select("claim_id", "pos", ((F.col("pos") * 7) % 60).alias("x"), ((F.col("pos") * 13) % 40).alias("y"), (10 + F.coalesce("quantity", F.lit(1)) % 20).alias("w"), (8 + F.length(F.coalesce("description", F.lit(""))) % 12).alias("h"))
     side = 16
     span = lambda at, size: F.sequence(F.floor(F.col(at) / side), F.floor((F.col(at) + F.col(size) - 1) / side))
     cells = b.withColumn("cx", F.explode(span("x", "w"))).withColumn("cy", F.explode(span("y", "h")))
