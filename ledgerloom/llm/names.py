@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.durable import durable
 from ledgerloom.llm.lsh import MinHasher, bands_for, components, links, qgrams, star_clusters
+from ledgerloom.llm.patterns import rx
 from ledgerloom.sources.tables import spread
 
 #: The least Jaccard similarity of q-grams at which a pair should still meet, and with what chance.
@@ -104,10 +105,10 @@ def similarity(a: str, b: str) -> float:
 
 def words(name: str | None) -> list[str]:
     """Lower-case words without titles; joined capitals are parted and figures inside words read as letters."""
-    text = re.sub(r"(?<=\p{Ll})(?=\p{Lu}\p{Ll}{2})", " ", name or "")
+    text = rx(r"(?<=\p{Ll})(?=\p{Lu}\p{Ll}{2})").sub(" ", name or "")
     out = []
-    for w in re.findall(r"[\p{L}\p{M}\p{N}]+", re.sub(r"['’]s\b", "s", text.lower()).replace("m/s", " ")):
-        if re.search(r"\p{L}", w):
+    for w in rx(r"[\p{L}\p{M}\p{N}]+").findall(rx(r"['’]s\b").sub("s", text.lower()).replace("m/s", " ")):
+        if rx(r"\p{L}").search(w):
             w = w.translate(_LOOKS)
             if w not in TITLES:
                 out.append(w)
@@ -116,7 +117,7 @@ def words(name: str | None) -> list[str]:
 
 def iso(date: str | None) -> str:
     """yyyy-mm-dd of a day-first date or one that begins with the year; '' if it is none."""
-    parts = re.findall(r"\p{L}+|\d+", (date or "").lower())
+    parts = rx(r"\p{L}+|\d+").findall((date or "").lower())
     if len(parts) != 3:
         return ""
     months = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
@@ -132,7 +133,7 @@ def iso(date: str | None) -> str:
 
 def policy(number: str | None) -> str:
     """A policy number's letters and figures, read alike however it is written; '' if it has no four figures."""
-    text = re.sub(r"[^A-Z0-9]", "", (number or "").upper())
+    text = rx(r"[^A-Z0-9]").sub("", (number or "").upper())
     digits = text[3:].replace("O", "0").replace("I", "1").replace("L", "1").replace("S", "5").replace("B", "8")
     head = text[:3].replace("5", "S").replace("0", "O")
     return head + digits if sum(c.isdigit() for c in digits) >= 4 else ""
@@ -172,7 +173,7 @@ def monge_elkan(a: list[str], b: list[str], inner) -> float:
 
 def _stem(w: str) -> str:
     """The first three letters, with c and k alike and doubles single: what pet forms keep of a name."""
-    return re.sub(r"(.)\1", r"\1", re.sub("ck?", "k", w))[:3]
+    return rx(r"(.)\1").sub(r"\1", rx("ck?").sub("k", w))[:3]
 
 
 def _inner(common: dict[str, int]):
@@ -292,8 +293,8 @@ def nodes(mentions: DataFrame) -> tuple[DataFrame, DataFrame]:
                     out.append((m, "p", " ".join(w), "", iso(dob), policy(pol)))
                 else:
                     own, kinds = house(name)
-                    place = re.sub(r"\P{L}", "", (city or "").lower())
-                    out.append((m, "o", own, " ".join(kinds), place, re.sub(r"\D", "", pin or "")))
+                    place = rx(r"\P{L}").sub("", (city or "").lower())
+                    out.append((m, "o", own, " ".join(kinds), place, rx(r"\D").sub("", pin or "")))
             yield pd.DataFrame(out, columns=["mention_id", "kind", "name", "kinds", "k1", "k2"])
 
     rows = mentions.select("mention_id", "entity_kind", "full_name", F.col("dob").cast("string"), F.col("policy_number").cast("string"), F.col("city").cast("string"), F.col("pin").cast("string")).where("mention_id IS NOT NULL AND full_name IS NOT NULL").distinct()

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from ledgerloom.durable import durable
 from ledgerloom.llm.boost import Boosted, calibrated_threshold
 from ledgerloom.llm.repair import furniture_model, furniture_of
+from ledgerloom.llm.patterns import rx
 from ledgerloom.sources.tables import spread
 
 TYPES = ("email", "phone", "id_number", "address", "person")
@@ -58,7 +59,7 @@ def name_spans(text: str, ordinary: frozenset[str]) -> Iterator[tuple[int, int]]
             if k > i and text[last:s] not in (" ", ""):
                 break
             last = e
-            if k > i and e - a >= 4 and re.search(r"\p{L}{3}", text[a:e]):
+            if k > i and e - a >= 4 and rx(r"\p{L}{3}").search(text[a:e]):
                 yield a, e
 
 
@@ -84,25 +85,25 @@ def features(text: str, kind: str, a: int, b: int, ordinary: frozenset[str]) ->
     before = _WORDS.findall(text[max(0, a - 48) : a])[-4:]
     after = _WORDS.findall(text[b : b + 40])[:3]
     x = [float(kind == t) for t in TYPES]
-    digits = re.sub(r"\D", "", span)
-    words = re.findall(r"\p{L}+", span)
+    digits = rx(r"\D").sub("", span)
+    words = rx(r"\p{L}+").findall(span)
     low = [w.lower() for w in words]
     line_start = not text[max(0, a - 1) : a].strip(" ") or text[a - 1] == "\n"
     x += [
         len(digits), span.startswith("+"), span.startswith("00"), span.startswith("0"), "(" in span and span.index("(") < 3, "-" in span, " " in span, "." in span,
-        bool(re.fullmatch(r"\d{4}([ -]?)\d{4}[ -]?\d{4}", span)), bool(re.fullmatch(r"\d{10}", span)), bool(re.fullmatch(r"\d{4}-\d{1,2}-\d{1,2}|\d{1,2}[.-]\d{1,2}[.-]\d{2,4}", span)),
-        len(re.findall(r"\d+", span)), len(re.findall(r"\d+", span)[0]) if digits else 0, len(re.findall(r"\d+", span)[-1]) if digits else 0,
+        bool(rx(r"\d{4}([ -]?)\d{4}[ -]?\d{4}").fullmatch(span)), bool(rx(r"\d{10}").fullmatch(span)), bool(rx(r"\d{4}-\d{1,2}-\d{1,2}|\d{1,2}[.-]\d{1,2}[.-]\d{2,4}").fullmatch(span)),
+        len(rx(r"\d+").findall(span)), len(rx(r"\d+").findall(span)[0]) if digits else 0, len(rx(r"\d+").findall(span)[-1]) if digits else 0,
         len(words), sum(len(w) == 1 for w in words), sum(w in TITLES for w in low), sum(w in ORGANISATION for w in low), sum(w in BUILT for w in low), sum(w in ordinary and len(w) > 1 for w in low), span.isupper(),
-        span.count(","), bool(re.search(r"\d{3}\s?\d{3}$", span)), bool(re.match(r"[A-Za-z]{5}", span)), bool(re.match(r"swp", span, re.I)), min(len(span), 120),
-        line_start, bool(re.match(r"[ ]?\p{Lu}[\p{L}.]", text[b : b + 3])), bool(re.search(r"\p{Lu}[\p{L}]*\.? ?$", text[max(0, a - 14) : a])), bool(re.search(r"\p{Lu}\.\s?$", text[max(0, a - 4) : a])),
+        span.count(","), bool(rx(r"\d{3}\s?\d{3}$").search(span)), bool(rx(r"[A-Za-z]{5}").match(span)), bool(rx(r"swp", re.I).match(span)), min(len(span), 120),
+        line_start, bool(rx(r"[ ]?\p{Lu}[\p{L}.]").match(text[b : b + 3])), bool(rx(r"\p{Lu}[\p{L}]*\.? ?$").search(text[max(0, a - 14) : a])), bool(rx(r"\p{Lu}\.\s?$").search(text[max(0, a - 4) : a])),
         bool(after and after[0].lower() in ORGANISATION), bool(before and before[-1].lower() in ORGANISATION), bool(before and before[-1].lower() in TITLES or len(before) > 1 and before[-1] == "." and before[-2].lower() in TITLES),
-        bool(re.match(r"\s?[-,]?\s?\d{3}\s?\d{3}", text[b : b + 10])), b - a >= 4 and bool(re.match(r"\p{L}", text[b : b + 1])), bool(re.search(r"(?i)rs\.?\s?$|inr\s?$|₹\s?$", text[max(0, a - 5) : a])), bool(re.match(r"[\d.,/]", text[b : b + 1])),
-        bool(re.search(r"[\d)][ .-]?$", text[max(0, a - 2) : a])), bool(re.match(r"[ .-]?\d", text[b : b + 2])), bool(re.match(r"[ ]?\(", text[max(0, a - 8) : a])),
-        bool(words) and len(words[-1]) == 1, bool(re.match(r"\p{L}", span[:1])) and len(words) == 1,
+        bool(rx(r"\s?[-,]?\s?\d{3}\s?\d{3}").match(text[b : b + 10])), b - a >= 4 and bool(rx(r"\p{L}").match(text[b : b + 1])), bool(rx(r"(?i)rs\.?\s?$|inr\s?$|₹\s?$").search(text[max(0, a - 5) : a])), bool(rx(r"[\d.,/]").match(text[b : b + 1])),
+        bool(rx(r"[\d)][ .-]?$").search(text[max(0, a - 2) : a])), bool(rx(r"[ .-]?\d").match(text[b : b + 2])), bool(rx(r"[ ]?\(").match(text[max(0, a - 8) : a])),
+        bool(words) and len(words[-1]) == 1, bool(rx(r"\p{L}").match(span[:1])) and len(words) == 1,
     ]
     near = [w.lower() for w in before]
     cue = np.zeros(len(CUES) * 3 + len(_MARKS) * 2)
-    plain = [w for w in near if w in _CUE or re.match(r"\w", w)]
+    plain = [w for w in near if w in _CUE or rx(r"\w").match(w)]
     if plain and plain[-1] in _CUE:
         cue[_CUE[plain[-1]]] = 1
     for w in plain[-3:-1]:
@@ -182,8 +183,8 @@ def _filled(form: str, draw: random.Random) -> tuple[str, list[tuple[str, int, i
     passport = lambda: letters(1) + pick(("", " ", "-")) + num(7)
     makers = {"N": ("person", person), "E": ("email", email), "P": ("phone", phone), "A": ("address", address), "Z": ("id_number", z), "T": ("id_number", tax), "V": ("id_number", voter), "Q": ("id_number", passport)}
     out, spans = "", []
-    for piece in re.split(r"(\{\w\})", form):
-        m = re.fullmatch(r"\{(\w)\}", piece)
+    for piece in rx(r"(\{\w\})").split(form):
+        m = rx(r"\{(\w)\}").fullmatch(piece)
         if not m:
             out += piece
         elif (c := m.group(1)) in makers:
@@ -200,7 +201,7 @@ def _filled(form: str, draw: random.Random) -> tuple[str, list[tuple[str, int, i
 def span_model(seed: int = 3) -> tuple[Boosted, tuple[float, ...]]:
     """The trees and a threshold for each type, from generated texts: two thirds fit, one third calibrates."""
     draw = random.Random(seed)
-    ordinary = frozenset(w.lower() for form in WITH + WITHOUT for w in re.findall(r"\b[a-z]{2,}\b", form))
+    ordinary = frozenset(w.lower() for form in WITH + WITHOUT for w in rx(r"\b[a-z]{2,}\b").findall(form))
     rows: list[list[float]] = []
     label: list[int] = []
     kinds: list[int] = []
@@ -246,8 +247,8 @@ def flattened(lines: list[str], off: list[bool]) -> str:
 
 def _is_organisation(text: str, a: int, b: int) -> bool:
     """An exact check on what the trees accept as a person: hospitals and insurers are not."""
-    after = re.match(r"\s(\p{L}+)", text[b : b + 24])
-    return any(w.lower() in ORGANISATION for w in re.findall(r"\p{L}+", text[a:b])) or bool(after and after.group(1)[0].isupper() and after.group(1).lower() in ORGANISATION)
+    after = rx(r"\s(\p{L}+)").match(text[b : b + 24])
+    return any(w.lower() in ORGANISATION for w in rx(r"\p{L}+").findall(text[a:b])) or bool(after and after.group(1)[0].isupper() and after.group(1).lower() in ORGANISATION)
 
 
 def spans_of(texts: list[str], model: Boosted, limits: tuple[float, ...], ordinary: frozenset[str]) -> list[list[tuple[str, int, int]]]:
@@ -294,7 +295,7 @@ def _scan(scans: DataFrame, output: str, schema: str) -> DataFrame:
                 flats = [flattened(x, off) for x, off in zip(lines, furniture_of(lines, pages))]
                 for scan, flat, spans in zip(part["scan_id"], flats, spans_of(flats, model, limits, ordinary)):
                     if output == "spans":
-                        out += [(scan, k, re.sub(r"\s*\n\s*", " ", flat[a:b])) for k, a, b in spans]
+                        out += [(scan, k, rx(r"\s*\n\s*").sub(" ", flat[a:b])) for k, a, b in spans]
                     else:
                         for k, a, b in reversed(spans):
                             flat = flat[:a] + f"[{k.upper()}]" + flat[b:]

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.durable import durable
+from ledgerloom.llm.patterns import rx
 from ledgerloom.sources.tables import spread
 
 #: Signs that end a sentence wherever they stand, brackets and quotes, and month names (for ordinals).
@@ -114,7 +115,7 @@ def _kind(line: str) -> str:
         return "code"
     if _LIST.match(line):
         return "list"
-    if _FORM.match(line) and len(line) <= 100 and not re.search(r"[!?。।۔]\s*$", line) and len(re.findall(r"\w\.\s+\p{Lu}\p{Ll}+ \p{Ll}", line)) == 0:
+    if _FORM.match(line) and len(line) <= 100 and not rx(r"[!?。।۔]\s*$").search(line) and len(rx(r"\w\.\s+\p{Lu}\p{Ll}+ \p{Ll}").findall(line)) == 0:
         return "form"
     if _LABEL.match(line) and len(line) <= 40:
         return "label"
@@ -154,7 +155,7 @@ def _quoted(block: str) -> list[tuple[int, int]]:
 
 
 def _is_number(t: str) -> bool:
-    return bool(re.fullmatch(r"[\d.,/-]*\d[\d.,/-]*", t))
+    return bool(rx(r"[\d.,/-]*\d[\d.,/-]*").fullmatch(t))
 
 
 def count(text: str | None, lang: str | None, into: Counter) -> None:
@@ -214,9 +215,9 @@ def _llr(k: float, n: float, p0: float, p1: float) -> float:
 
 def is_abbreviation(t: str, all_: int, dot: int, final: int, small: int, dots: int, finals: int, tokens: int) -> bool | None:
     """None: no abbreviation; else whether it may also end a sentence."""
-    if dot < 1 or not re.search(r"\p{L}", t) or (len(t.replace(".", "")) > 9):
+    if dot < 1 or not rx(r"\p{L}").search(t) or (len(t.replace(".", "")) > 9):
         return None
-    letters = re.sub(r"[.\p{M}]", "", t)
+    letters = rx(r"[.\p{M}]").sub("", t)
     without = max(0, all_ - dot)
     score = _llr(dot, dot + without, dots / max(tokens, 1), 0.99) * math.exp(-len(letters)) * (t.count(".") + 1) * len(letters) ** -without
     expected = finals / max(dots, 1)
@@ -252,7 +253,7 @@ class Splitter:
         spans = _quoted(block)
         at = 0
         marks = [(m.start(), m.end(), m.group()) for m in _MARK.finditer(block)]
-        if lang == "th" or re.search(r"\p{Thai}", block):
+        if lang == "th" or rx(r"\p{Thai}").search(block):
             marks = sorted(marks + [(m.start(), m.start(), " ") for m in _THAI.finditer(block)])
         for start, end, mark in marks:
             while at < len(spans) and spans[at][1] < start:
@@ -300,7 +301,7 @@ class Splitter:
         word = nxt.group(1) if nxt else ""
         starter = (lang, word.lower()) in self.model.starters
         if rest and not rest.isspace():
-            if mark == "." and rest.isupper() and re.search(r"[\p{Ll}\p{M}\d)]{3}$", block[max(0, start - 6) : start]) and re.match(r"\p{Lu}\p{Ll}*\.?(?:\s|$)", block[end : end + 40]):
+            if mark == "." and rest.isupper() and rx(r"[\p{Ll}\p{M}\d)]{3}$").search(block[max(0, start - 6) : start]) and rx(r"\p{Lu}\p{Ll}*\.?(?:\s|$)").match(block[end : end + 40]):
                 return starter or len(word) > 1
             return mark != "." and mark[-1] in "!?" and rest.isupper()
         if not block[end:].strip():
@@ -313,12 +314,12 @@ class Splitter:
             return not word[0].islower() or starter
         t = _before(block, start)
         if _is_number(t):
-            single = re.fullmatch(r"\d{1,2}", t)
+            single = rx(r"\d{1,2}").fullmatch(t)
             return not (single and (word.lower() in MONTHS or ((lang, word.lower()) in self.model.ordinals and not starter)))
         known = self.model.abbreviations.get((lang, t))
-        if known is None and re.fullmatch(r"\p{L}", t):
-            return starter and word[0].isupper() and not re.search(r"\p{Lu}$", block[:start])
-        if known is None and re.fullmatch(r"[ivx]{1,4}", t) and word[0].islower():
+        if known is None and rx(r"\p{L}").fullmatch(t):
+            return starter and word[0].isupper() and not rx(r"\p{Lu}$").search(block[:start])
+        if known is None and rx(r"[ivx]{1,4}").fullmatch(t) and word[0].islower():
             return False
         if known is None:
             return not (word[0].islower() and len(t) <= 3 and not starter and not t.isdigit())
