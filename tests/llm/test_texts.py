@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import pii as P
 from ledgerloom.llm import repair as R
@@ -133,3 +134,24 @@ def test_personal_information(spark):
     out = {r.scan_id: r.text for r in P.redacted(frame).collect()}
     assert "[PERSON]" in out[1] and "[EMAIL]" in out[1] and "asha" not in out[1].lower() and "SWP0046921" in out[1] and out[4] == "Nothing here."
     assert P.personal(frame.limit(0)).collect() == []
+
+
+def test_cases_per_record_do_not_depend_on_the_size_of_the_corpus(spark):
+    """Ten times the texts under new ids: every record keeps its cases."""
+    folder = "/root/testdata/sf0.01"
+    scans, codes = spark.read.parquet(f"{folder}/scan_texts.parquet").select("scan_id", "raw_text_preview"), spark.read.parquet(f"{folder}/claim_codes.parquet").select("code_id", "context")
+    many = lambda frame, key: frame.join(spark.range(10).withColumnRenamed("id", "copy")).withColumn(key, frame[key] + F.col("copy") * 10_000_000).drop("copy")
+    one = {tuple(r) for r in R.noise(scans, codes).collect()}
+    ten = [tuple(r) for r in R.noise(many(scans, "scan_id"), many(codes, "code_id")).collect()]
+    again = {(k, i % 10_000_000, *rest) for k, i, *rest in ten}
+    assert len(one) > 100 and len(one - again) <= 0.01 * len(one) and len(ten) >= 9.9 * len(one)
+
+
+def test_line_pairs_on_held_out_papers():
+    joins, hit, n = R.join_model(), 0, 0
+    for seed in range(7000, 7040):
+        lines, mark, ends = R.generated_paper(seed, 1 + seed % 6)
+        got = joins.of([lines], [[bool(m) for m in mark]])[0]
+        hit += sum(ends[i] == how for i, (_, how) in got.items())
+        n += len(got)
+    assert hit / n > 0.93
