@@ -33,10 +33,16 @@ def durable(frame: DataFrame) -> DataFrame:
     spark = frame.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/t-{uuid.uuid4().hex}"
     frame.write.parquet(path)
-    atexit.register(_drop, spark, path)
+    released(spark, path)
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def released(spark: SparkSession, path: str) -> str:
+    """The path, which is removed when the driver's Python ends."""
+    atexit.register(_drop, spark, path)
+    return path
+
+
 def _drop(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm

@@ -10,17 +10,17 @@ from ledgerloom.functions import text as T
 from ledgerloom.plans.book import CLAIMS_SQL, CODES_SQL, ITEMS_SQL, Book
 from ledgerloom.plans.filters import claims
 from ledgerloom.plans.metrics import items
-from ledgerloom.sources.tables import table
+from ledgerloom.sources.tables import once, table
 
 book = Book()
 
 
-def codes(s, d):
-    return table(s, d, "claim_codes").dropDuplicates(["code_id"])
+def codes(s, d, *, keep=None):
+    return once(table(s, d, "claim_codes"), ["code_id"], keep)
 
 
-def extractions(s, d):
-    return table(s, d, "claim_extractions").dropDuplicates(["rec_id"])
+def extractions(s, d, *, keep=None):
+    return once(table(s, d, "claim_extractions"), ["rec_id"], keep)
 
 
 _SQUEEZE = "trim(regexp_replace({0}, '\\s+', ' ', 'g'))"
@@ -86,7 +86,7 @@ _HOUSES = ("eye hospital", "dental clinic", "heart institute", "nursing home", "
 )
 def _e10(s, d):
     """The kinds are seven constants: an array per row, no join."""
-    c = claims(s, d, "claim_id", "hospital_name").where("hospital_name IS NOT NULL").withColumn("h", F.lower(T.squeeze(F.col("hospital_name"))))
+    c = claims(s, d, "claim_id", "hospital_name", keep="hospital_name IS NOT NULL").withColumn("h", F.lower(T.squeeze(F.col("hospital_name"))))
     scored = [F.struct(F.round(F.when(F.contains("h", F.lit(k)), 1.0).otherwise(T.similarity(F.col("h"), F.lit(k))), 12).alias("s"), F.lit(-i).alias("r"), F.lit(k).alias("kind")) for i, k in enumerate(_HOUSES)]
     return c.select("claim_id", F.array_max(F.array(*scored)).alias("b")).where("b.s >= 0.5").select("claim_id", "b.kind", F.round("b.s", 6).alias("score"))
 
@@ -94,7 +94,7 @@ def _e10(s, d):
 @book.add("e12_doctors", f"WITH {CLAIMS_SQL} SELECT claim_id, regexp_matches(provider_name, '(?i)(^|\\s)(dr|prof)\\.?\\s') AS is_doctor, {_sq('regexp_replace(provider_name, ' + chr(39) + '(?i)(^|\\s)dr\\.?\\s+' + chr(39) + ', ' + chr(39) + '\\1Dr. ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')} AS provider FROM claims WHERE provider_name IS NOT NULL")
 def _e12(s, d):
     p = F.col("provider_name")
-    return claims(s, d, "claim_id", "provider_name").where("provider_name IS NOT NULL").select("claim_id", p.rlike(r"(?i)(^|\s)(dr|prof)\.?\s").alias("is_doctor"), T.squeeze(F.regexp_replace(p, r"(?i)(^|\s)dr\.?\s+", "$1Dr. ")).alias("provider"))
+    return claims(s, d, "claim_id", "provider_name", keep="provider_name IS NOT NULL").select("claim_id", p.rlike(r"(?i)(^|\s)(dr|prof)\.?\s").alias("is_doctor"), T.squeeze(F.regexp_replace(p, r"(?i)(^|\s)dr\.?\s+", "$1Dr. ")).alias("provider"))
 
 
 # Lines of scanned texts: one explode feeds the line operators.
@@ -171,7 +171,7 @@ _ICD = r"\b([A-TV-Z][0-9]{2}(?:\.[0-9]{1,2})?)\b"
 
 @book.add("e33_codes_in_context", f"WITH {CODES_SQL}, m AS (SELECT code_id, claim_id, context, unnest(regexp_extract_all(context, '{_ICD}', 1)) AS found FROM codes WHERE context IS NOT NULL) SELECT claim_id, found, count(*)::BIGINT AS n, min(code_id) AS first_code_id FROM m GROUP BY 1, 2")
 def _e33(s, d):
-    m = codes(s, d).where("context IS NOT NULL").select("code_id", "claim_id", F.explode(F.regexp_extract_all("context", F.lit(_ICD), F.lit(1))).alias("found"))
+    m = codes(s, d, keep="context IS NOT NULL").select("code_id", "claim_id", F.explode(F.regexp_extract_all("context", F.lit(_ICD), F.lit(1))).alias("found"))
     return m.groupBy("claim_id", "found").agg(F.count(F.lit(1)).alias("n"), F.min("code_id").alias("first_code_id"))
 
 
@@ -193,7 +193,7 @@ _CHAPTERS = (("A", "Infectious"), ("C", "Neoplasm"), ("E", "Endocrine"), ("H", "
 @book.add("e37_code_chapter", f"WITH {CODES_SQL}, c(letter, chapter) AS (VALUES " + ", ".join(str(x) for x in _CHAPTERS) + ") SELECT code_id, upper(code) AS code, chapter FROM codes LEFT JOIN c ON substr(upper(code), 1, 1) = letter WHERE code IS NOT NULL")
 def _e37(s, d):
     chapters = s.createDataFrame(list(_CHAPTERS), "letter string, chapter string")
-    c = codes(s, d).where("code IS NOT NULL").withColumn("letter", F.substring(F.upper("code"), 1, 1))
+    c = codes(s, d, keep="code IS NOT NULL").withColumn("letter", F.substring(F.upper("code"), 1, 1))
     return c.join(F.broadcast(chapters), "letter", "left").select("code_id", F.upper("code").alias("code"), "chapter")  # eleven constant rows
 
 
@@ -205,7 +205,7 @@ def _e38(s, d):
     # A range join against a few constant ranges: one struct per range folded into the row.
     n = F.col("code").try_cast("bigint")
     area = F.coalesce(*[F.when(n.between(lo, hi), a) for lo, hi, a in _RANGES])
-    return codes(s, d).where(F.col("code").rlike("^[0-9]{5}$")).select("code_id", area.alias("area")).where("area IS NOT NULL")
+    return codes(s, d, keep=F.col("code").rlike("^[0-9]{5}$")).select("code_id", area.alias("area")).where("area IS NOT NULL")
 
 
 @book.add(
@@ -214,7 +214,7 @@ def _e38(s, d):
 )
 def _e39(s, d):
     k = F.row_number().over(Window.partitionBy("claim_id").orderBy(F.coalesce("is_primary", F.lit(False)).desc(), F.col("confidence").desc_nulls_last(), "pos", "code_id"))
-    r = codes(s, d).where("code IS NOT NULL").withColumn("k", k)
+    r = codes(s, d, keep="code IS NOT NULL").withColumn("k", k)
     return r.groupBy("claim_id").agg(F.max(F.when(F.col("k") == 1, F.upper("code"))).alias("primary_code"), F.round(F.avg("confidence"), 6).alias("mean_confidence"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("k") <= 5, F.struct("k", F.upper("code").alias("c"))))), lambda x: x["c"]), ", ").alias("shown"))
 
 
@@ -255,7 +255,7 @@ def _e48(s, d):
     "WITH x AS (SELECT DISTINCT * FROM claim_extractions), v AS (SELECT TRY_CAST(regexp_extract(file_name, '^0*([0-9]+)', 1) AS BIGINT) AS claim_no, upper(replace(policy_number, ' ', '')) AS v, rec_id FROM x WHERE policy_number IS NOT NULL AND regexp_matches(policy_number, '[0-9]{4}')), g AS (SELECT claim_no, v, count(*)::BIGINT AS n, min(rec_id) AS first FROM v WHERE claim_no IS NOT NULL GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY claim_no ORDER BY n DESC, first) AS k FROM g) SELECT claim_no, v AS policy, n, round(least(0.95, 0.5 + 0.1 * n), 2)::DOUBLE AS confidence FROM r WHERE k = 1",
 )
 def _e04(s, d):
-    x = extractions(s, d).where(F.col("policy_number").rlike("[0-9]{4}"))
+    x = extractions(s, d, keep=F.col("policy_number").rlike("[0-9]{4}"))
     v = x.select(F.regexp_extract("file_name", "^0*([0-9]+)", 1).try_cast("bigint").alias("claim_no"), F.upper(F.replace("policy_number", F.lit(" "), F.lit(""))).alias("v"), "rec_id").where("claim_no IS NOT NULL")
     g = v.groupBy("claim_no", "v").agg(F.count(F.lit(1)).alias("n"), F.min("rec_id").alias("first"))
     best = g.groupBy("claim_no").agg(F.max_by(F.struct("v", "n"), F.struct("n", -F.col("first"))).alias("b"))
@@ -268,7 +268,7 @@ def _e04(s, d):
 )
 def _e51(s, d):
     """BIO tags to entity spans by gaps and islands."""
-    c = claims(s, d).where("hospital_name IS NOT NULL AND diagnosis IS NOT NULL")
+    c = claims(s, d, keep="hospital_name IS NOT NULL AND diagnosis IS NOT NULL")
     h = F.size(F.split(T.squeeze(F.col("hospital_name")), " "))
     t = c.select("claim_id", h.alias("h"), F.posexplode(F.split(T.squeeze(F.concat("hospital_name", F.lit(" treats "), "diagnosis")), " ")).alias("p", "w"))
     tag = F.when(F.col("p") == 0, "B-ORG").when(F.col("p") < F.col("h"), "I-ORG").when(F.col("p") == F.col("h"), "O").when(F.col("p") == F.col("h") + 1, "B-DIS").otherwise("I-DIS")
@@ -304,14 +304,14 @@ def _v04(s, d):
 
 @book.add("v07_clean_totals", f"WITH {CLAIMS_SQL}, {ITEMS_SQL}, v AS (SELECT claim_id, sum(amount) AS itemised, count(*)::BIGINT AS kept FROM items WHERE amount > 0 AND amount <= 50000000 AND description IS NOT NULL GROUP BY 1) SELECT claim_id, kept, round(itemised, 2) AS itemised, round(CASE WHEN billed_amount > 0 THEN billed_amount ELSE itemised END, 2) AS total, coalesce(abs(itemised - billed_amount) > 100, false) AS corrected FROM claims LEFT JOIN v USING (claim_id)")
 def _v07(s, d):
-    v = items(s, d).where("amount > 0 AND amount <= 50000000 AND description IS NOT NULL").groupBy("claim_id").agg(F.sum("amount").alias("i"), F.count(F.lit(1)).alias("kept"))
+    v = items(s, d, keep="amount > 0 AND amount <= 50000000 AND description IS NOT NULL").groupBy("claim_id").agg(F.sum("amount").alias("i"), F.count(F.lit(1)).alias("kept"))
     b = F.col("billed_amount")
     return claims(s, d, "claim_id", "billed_amount").join(v, "claim_id", "left").select("claim_id", "kept", F.round("i", 2).alias("itemised"), F.round(F.when(b > 0, b).otherwise(F.col("i")), 2).alias("total"), F.coalesce(F.abs(F.col("i") - b) > 100, F.lit(False)).alias("corrected"))
 
 
 @book.add("v16_diagnosis_parts", f"WITH {CLAIMS_SQL}, p AS (SELECT claim_id, trim(unnest(string_split_regex(diagnosis, '[,;/|]'))) AS part FROM claims WHERE diagnosis IS NOT NULL) SELECT claim_id, count(*)::BIGINT AS parts, min(part) AS first_part FROM p WHERE length(part) >= 3 AND NOT regexp_matches(part, '(?i)name of|to be filled') GROUP BY 1")
 def _v16(s, d):
-    p = claims(s, d, "claim_id", "diagnosis").where("diagnosis IS NOT NULL").select("claim_id", F.explode(F.split("diagnosis", "[,;/|]")).alias("part")).select("claim_id", F.trim("part").alias("part"))
+    p = claims(s, d, "claim_id", "diagnosis", keep="diagnosis IS NOT NULL").select("claim_id", F.explode(F.split("diagnosis", "[,;/|]")).alias("part")).select("claim_id", F.trim("part").alias("part"))
     return p.where("length(part) >= 3 AND NOT part RLIKE '(?i)name of|to be filled'").groupBy("claim_id").agg(F.count(F.lit(1)).alias("parts"), F.min("part").alias("first_part"))
 
 
@@ -332,7 +332,7 @@ _GIB = (("[bcdfghjklmnpqrstvwxyz]{5}", 1.5), ("[a-z][0-9][a-z]|[0-9][a-z][0-9]",
 def _v01(s, d):
     t = F.lower("description")
     score = sum((F.when(t.rlike(p), w).otherwise(0.0) for p, w in _GIB), F.lit(0.0)) + F.when(F.length(F.regexp_replace(t, "[^aeiou]", "")) < 0.15 * F.length(F.regexp_replace(t, "[^a-z]", "")), 1.5).otherwise(0.0)
-    return items(s, d).where("description IS NOT NULL").select("claim_id", "pos", score.alias("score"), (score >= 2).alias("is_gibberish"), F.round(F.least(F.lit(1.0), score / 3), 4).alias("confidence"))
+    return items(s, d, keep="description IS NOT NULL").select("claim_id", "pos", score.alias("score"), (score >= 2).alias("is_gibberish"), F.round(F.least(F.lit(1.0), score / 3), 4).alias("confidence"))
 
 
 _LABEL = r"^\s*(Name of Patient|Insured|Address|Mobile|E-mail|ID proof|Treating consultant)\s*:\s*(.+?)\s*$"

@@ -8,67 +8,67 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.plans.book import CLAIMS_SQL, CODES_SQL, ITEMS_SQL, Book
-from ledgerloom.sources.tables import table
+from ledgerloom.sources.tables import once, table
 
 book = Book()
 _OUT = ["claim_id", "claim_number", "status"]
 
 
-def claims(spark, folder, *columns) -> DataFrame:
-    return table(spark, folder, "claim", *columns).dropDuplicates(["claim_id"])
+def claims(spark, folder, *columns, keep: Column | str | None = None) -> DataFrame:
+    return once(table(spark, folder, "claim", *columns), ["claim_id"], keep)
 
 
-def any_column_contains(frame: DataFrame, text: str, columns: list[str]) -> DataFrame:
-    """Rows of which some column contains the text, ignoring case; a match never spans two columns."""
-    return frame.where(reduce(lambda a, b: a | b, [F.coalesce(F.contains(F.lower(c), F.lit(text.lower())), F.lit(False)) for c in columns]))
+def any_column_contains(text: str, columns: list[str]) -> Column:
+    """Some column contains the text, ignoring case; a match never spans two columns."""
+    return reduce(lambda a, b: a | b, [F.coalesce(F.contains(F.lower(c), F.lit(text.lower())), F.lit(False)) for c in columns])
 
 
-def worklist(frame: DataFrame, *, since: Column | None = None, until: Column | None = None, statuses: list[str] = (), insurers: list[str] = (), id_like: str = "") -> DataFrame:
-    """All filters of the worklist in one Filter, so that they reach the scan together."""
-    keep = F.lit(True)
+def worklist(*, since: Column | None = None, until: Column | None = None, statuses: list[str] = (), insurers: list[str] = (), id_like: str = "") -> Column:
+    """All filters of the worklist in one condition, which goes to the scan as a whole."""
+    keep = [F.col("claim_id").isNotNull()]
     if since is not None:
-        keep = keep & (F.col("date_of_service") >= since)
+        keep.append(F.col("date_of_service") >= since)
     if until is not None:
-        keep = keep & (F.col("date_of_service") <= until)
+        keep.append(F.col("date_of_service") <= until)
     if statuses:
-        keep = keep & reduce(lambda a, b: a | b, [F.lower("status").contains(s.split(" ")[0].lower()) for s in statuses])
+        keep.append(reduce(lambda a, b: a | b, [F.lower("status").contains(s.split(" ")[0].lower()) for s in statuses]))
     if insurers:
-        keep = keep & F.col("insurance_company").isin(*insurers)
+        keep.append(F.col("insurance_company").isin(*insurers))
     if id_like:
-        keep = keep & F.lower("claim_number").contains(id_like.lower())
-    return frame.where(keep)
+        keep.append(F.lower("claim_number").contains(id_like.lower()))
+    return reduce(lambda a, b: a & b, keep)
 
 
 @book.add("f01_any_column_contains", f"WITH {CLAIMS_SQL} SELECT claim_id, claim_number, status FROM claims WHERE lower(claim_number) LIKE '%eye%' OR lower(hospital_name) LIKE '%eye%' OR lower(diagnosis) LIKE '%eye%' OR lower(notes) LIKE '%eye%'")
 def _f01(s, d):
-    return any_column_contains(claims(s, d), "EYE", ["claim_number", "hospital_name", "diagnosis", "notes"]).select(*_OUT)
+    return claims(s, d, keep=any_column_contains("EYE", ["claim_number", "hospital_name", "diagnosis", "notes"])).select(*_OUT)
 
 
 @book.add("f02_date_range", f"WITH {CLAIMS_SQL}, t AS (SELECT max(date_of_service) AS as_of FROM claims) SELECT claim_id, claim_number, status FROM claims, t WHERE date_of_service >= as_of - INTERVAL 90 DAY AND date_of_service <= as_of")
 def _f02(s, d):
-    c = claims(s, d)
-    as_of = c.agg(F.max("date_of_service").alias("as_of"))
-    return c.join(F.broadcast(as_of)).where(F.col("date_of_service").between(F.date_sub("as_of", 90), F.col("as_of"))).select(*_OUT)
+    # One row comes to the driver: the last day, which the scan can then be filtered by.
+    as_of = table(s, d, "claim", "date_of_service").agg(F.max("date_of_service")).first()[0]
+    return claims(s, d, keep=worklist(since=F.date_sub(F.lit(as_of), 90), until=F.lit(as_of))).select(*_OUT)
 
 
 @book.add("f03_id_contains", f"WITH {CLAIMS_SQL} SELECT claim_id, claim_number, status FROM claims WHERE lower(claim_number) LIKE '%cl 0%'")
 def _f03(s, d):
-    return worklist(claims(s, d), id_like="CL 0").select(*_OUT)
+    return claims(s, d, keep=worklist(id_like="CL 0")).select(*_OUT)
 
 
 @book.add("f04_status_words", f"WITH {CLAIMS_SQL} SELECT claim_id, claim_number, status FROM claims WHERE lower(status) LIKE '%query%' OR lower(status) LIKE '%approved%'")
 def _f04(s, d):
-    return worklist(claims(s, d), statuses=["Query raised", "Approved in full"]).select(*_OUT)
+    return claims(s, d, keep=worklist(statuses=["Query raised", "Approved in full"])).select(*_OUT)
 
 
 @book.add("f05_in_list", f"WITH {CLAIMS_SQL} SELECT claim_id, claim_number, status FROM claims WHERE insurance_company IN ('Kaveto General', 'Bimarak Health')")
 def _f05(s, d):
-    return worklist(claims(s, d), insurers=["Kaveto General", "Bimarak Health"]).select(*_OUT)
+    return claims(s, d, keep=worklist(insurers=["Kaveto General", "Bimarak Health"])).select(*_OUT)
 
 
 @book.add("f06_drill_down", f"WITH {CLAIMS_SQL} SELECT claim_id, claim_number, status FROM claims WHERE room_type = 'ICU'")
 def _f06(s, d):
-    return claims(s, d).where("room_type = 'ICU'").select(*_OUT)
+    return claims(s, d, keep="room_type = 'ICU'").select(*_OUT)
 
 
 RULES = (
@@ -126,7 +126,7 @@ def _f09(s, d):
 
 @book.add("f10_code_filter", f"WITH {CODES_SQL} SELECT code_id, code, confidence FROM codes WHERE regexp_matches(upper(code), '^[A-Z][0-9]{{2}}(\\.[0-9]{{1,4}})?$') AND confidence >= 0.7")
 def _f10(s, d):
-    return table(s, d, "claim_codes", "code_id", "code", "confidence").dropDuplicates(["code_id"]).where(F.upper("code").rlike(r"^[A-Z][0-9]{2}(\.[0-9]{1,4})?$") & (F.col("confidence") >= 0.7))
+    return once(table(s, d, "claim_codes", "code_id", "code", "confidence"), ["code_id"], F.upper("code").rlike(r"^[A-Z][0-9]{2}(\.[0-9]{1,4})?$") & (F.col("confidence") >= 0.7))
 
 
 @book.add(
@@ -166,5 +166,5 @@ _COMPARED = ["hospital_name", "diagnosis", "room_type", "status", "insurance_com
     f"WITH {CLAIMS_SQL}, u AS (" + " UNION ALL ".join(f"SELECT claim_id, '{c}' AS attribute, {c} AS v FROM claims WHERE claim_id IN (5, 9)" for c in _COMPARED) + ") SELECT attribute, max(CASE WHEN claim_id = 5 THEN v END) AS left_value, max(CASE WHEN claim_id = 9 THEN v END) AS right_value FROM u GROUP BY 1",
 )
 def _f14(s, d):
-    two = claims(s, d).where("claim_id IN (5, 9)").unpivot("claim_id", _COMPARED, "attribute", "v")
+    two = claims(s, d, keep="claim_id IN (5, 9)").unpivot("claim_id", _COMPARED, "attribute", "v")
     return two.groupBy("attribute").agg(F.max(F.when(F.col("claim_id") == 5, F.col("v"))).alias("left_value"), F.max(F.when(F.col("claim_id") == 9, F.col("v"))).alias("right_value"))

@@ -8,17 +8,17 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import text as T
 from ledgerloom.plans.book import AUDIT_SQL, CLAIMS_SQL, ITEMS_SQL, Book
 from ledgerloom.plans.filters import claims
-from ledgerloom.sources.tables import table
+from ledgerloom.sources.tables import once, table
 
 book = Book()
 
 
-def items(s, d):
-    return table(s, d, "claim_items").dropDuplicates(["claim_id", "pos"])
+def items(s, d, *, keep=None):
+    return once(table(s, d, "claim_items"), ["claim_id", "pos"], keep)
 
 
-def audit(s, d):
-    return table(s, d, "audit_log").dropDuplicates(["log_id"])
+def audit(s, d, *, keep=None):
+    return once(table(s, d, "audit_log"), ["log_id"], keep)
 
 
 _AS_OF = "t AS (SELECT CAST(max(created_at) AS DATE) AS as_of FROM claims)"
@@ -69,13 +69,13 @@ def _m10(s, d):
 
 @book.add("m11_provider_table", f"WITH {CLAIMS_SQL} SELECT npi_number, count(*)::BIGINT AS claims, round(sum(billed_amount), 2) AS billed, round(avg(CASE WHEN billed_amount > 100000 THEN 1.0 ELSE 0.0 END), 6) AS large_share FROM claims WHERE npi_number IS NOT NULL GROUP BY 1")
 def _m11(s, d):
-    return claims(s, d).where("npi_number IS NOT NULL").groupBy("npi_number").agg(F.count(F.lit(1)).alias("claims"), F.round(F.sum("billed_amount"), 2).alias("billed"), F.round(F.avg(F.when(F.col("billed_amount") > 100000, 1.0).otherwise(0.0)), 6).alias("large_share"))
+    return claims(s, d, keep="npi_number IS NOT NULL").groupBy("npi_number").agg(F.count(F.lit(1)).alias("claims"), F.round(F.sum("billed_amount"), 2).alias("billed"), F.round(F.avg(F.when(F.col("billed_amount") > 100000, 1.0).otherwise(0.0)), 6).alias("large_share"))
 
 
 @book.add("m12_monthly_change", f"WITH {CLAIMS_SQL}, m AS (SELECT CAST(date_trunc('month', date_of_service) AS DATE) AS month, count(*)::BIGINT AS n FROM claims WHERE date_of_service IS NOT NULL GROUP BY 1) SELECT month, n, n - lag(n) OVER (ORDER BY month) AS change, n - lag(n, 12) OVER (ORDER BY month) AS year_change FROM m")
 def _m12(s, d):
     # The window runs over one row a month, whatever the number of claims.
-    m = claims(s, d).where("date_of_service IS NOT NULL").groupBy(F.trunc("date_of_service", "month").alias("month")).agg(F.count(F.lit(1)).alias("n"))
+    m = claims(s, d, keep="date_of_service IS NOT NULL").groupBy(F.trunc("date_of_service", "month").alias("month")).agg(F.count(F.lit(1)).alias("n"))
     w = Window.orderBy("month")
     return m.select("month", "n", (F.col("n") - F.lag("n").over(w)).alias("change"), (F.col("n") - F.lag("n", 12).over(w)).alias("year_change"))
 

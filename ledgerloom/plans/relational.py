@@ -59,7 +59,7 @@ def _g07(s, d):
 
 @book.add("g08_median_by_category", f"WITH {ITEMS_SQL} SELECT category, round(median(amount), 4) AS middle, round(quantile_cont(amount, 0.9), 4) AS p90 FROM items WHERE category IS NOT NULL GROUP BY 1")
 def _g08(s, d):
-    return items(s, d).where("category IS NOT NULL").groupBy("category").agg(F.round(F.median("amount"), 4).alias("middle"), F.round(F.percentile("amount", F.lit(0.9)), 4).alias("p90"))
+    return items(s, d, keep="category IS NOT NULL").groupBy("category").agg(F.round(F.median("amount"), 4).alias("middle"), F.round(F.percentile("amount", F.lit(0.9)), 4).alias("p90"))
 
 
 @book.add("g09_approximate_distinct")
@@ -117,20 +117,20 @@ def _k01(s, d):
 
 @book.add("k02_last_write_wins", f"WITH {AUDIT_SQL}, r AS (SELECT regexp_extract(claim_id, '([0-9]+)', 1) AS k, log_id, lower(action_name) AS action, row_number() OVER (PARTITION BY regexp_extract(claim_id, '([0-9]+)', 1) ORDER BY logged_at DESC NULLS LAST, log_id DESC) AS n FROM audit WHERE regexp_matches(claim_id, '[0-9]')) SELECT k AS claim, log_id, action FROM r WHERE n = 1")
 def _k02(s, d):
-    a = audit(s, d).where(F.col("claim_id").rlike("[0-9]")).withColumn("claim", F.regexp_extract("claim_id", "([0-9]+)", 1))
+    a = audit(s, d, keep=F.col("claim_id").rlike("[0-9]")).withColumn("claim", F.regexp_extract("claim_id", "([0-9]+)", 1))
     return a.groupBy("claim").agg(F.max_by(F.struct("log_id", F.lower("action_name").alias("action")), F.struct("logged_at", "log_id")).alias("b")).select("claim", "b.log_id", "b.action")
 
 
 @book.add("r16_status_history", f"WITH {AUDIT_SQL}, h AS (SELECT regexp_extract(claim_id, '([0-9]+)', 1) AS claim, logged_at, log_id, json_extract_string(details, '$.to') AS new_status FROM audit WHERE json_valid(details) AND regexp_matches(claim_id, '[0-9]')) SELECT claim, new_status, row_number() OVER (PARTITION BY claim ORDER BY logged_at, log_id)::INTEGER AS step FROM h WHERE new_status IS NOT NULL")
 def _r16(s, d):
-    a = audit(s, d).where(F.col("claim_id").rlike("[0-9]")).withColumn("new_status", F.try_variant_get(F.try_parse_json("details"), "$.to", "string")).where("new_status IS NOT NULL")
+    a = audit(s, d, keep=F.col("claim_id").rlike("[0-9]")).withColumn("new_status", F.try_variant_get(F.try_parse_json("details"), "$.to", "string")).where("new_status IS NOT NULL")
     a = a.withColumn("claim", F.regexp_extract("claim_id", "([0-9]+)", 1))
     return a.select("claim", "new_status", F.row_number().over(Window.partitionBy("claim").orderBy("logged_at", "log_id")).alias("step"))
 
 
 @book.add("r17_overdue", f"WITH {AUDIT_SQL}, t AS (SELECT max(logged_at) AS as_of FROM audit) SELECT log_id, date_diff('second', logged_at, as_of) > 30 * 24 * 3600 AS overdue FROM audit, t WHERE logged_at IS NOT NULL")
 def _r17(s, d):
-    a = audit(s, d).where("logged_at IS NOT NULL")
+    a = audit(s, d, keep="logged_at IS NOT NULL")
     as_of = a.agg(F.max("logged_at").alias("as_of"))
     sec = lambda c: F.unix_timestamp(F.col(c).cast("timestamp"))
     return a.join(F.broadcast(as_of)).select("log_id", (sec("as_of") - sec("logged_at") > 30 * 24 * 3600).alias("overdue"))
@@ -184,7 +184,7 @@ def _t06(s, d):
     """Long words are split in two; the second half continues the label of the first."""
     a = F.split("description", " ")
     parts = F.flatten(F.transform(a, lambda t: F.when(F.length(t) > 8, F.array(F.lit("B"), F.lit("I"))).otherwise(F.array(F.lit("B")))))
-    return items(s, d).where("description IS NOT NULL").select("claim_id", "pos", F.size(parts).cast("bigint").alias("tokens"), F.size(F.filter(parts, lambda p: p == "I")).cast("bigint").alias("continued"))
+    return items(s, d, keep="description IS NOT NULL").select("claim_id", "pos", F.size(parts).cast("bigint").alias("tokens"), F.size(F.filter(parts, lambda p: p == "I")).cast("bigint").alias("continued"))
 
 
 _IDS = {"B-ROOM": 1, "B-DRUG": 2, "B-LAB": 3}
@@ -197,17 +197,13 @@ def _t08(s, d):
 
 
 @book.add(
-    "i03_box_overlaps",
-    f"WITH {ITEMS_SQL}, b AS (SELECT claim_id, pos, (pos * 7) % 60 AS x, (pos * 13) % 40 AS y, 10 + coalesce(quantity, 1) % 20 AS w, 8 + length(coalesce(description, '')) % 12 AS h FROM items WHERE pos <= 60), p AS (SELECT a.claim_id, a.pos AS first, c.pos AS second, greatest(0, least(a.x + a.w, c.x + c.w) - greatest(a.x, c.x)) * greatest(0, least(a.y + a.h, c.y + c.h) - greatest(a.y, c.y)) AS inter, least(a.w * a.h, c.w * c.h) AS area FROM b a JOIN b c ON a.claim_id = c.claim_id AND a.pos < c.pos) SELECT claim_id, first, second, round(inter / area::DOUBLE, 6) AS ratio FROM p WHERE inter > 0.5 * area",
+    "i03_page_overlaps",
+    f"WITH {ITEMS_SQL}, b AS (SELECT claim_id, pos, greatest(0, (pos - 1) // 60) AS page, (pos * 7) % 60 AS x, (pos * 13) % 40 AS y, 10 + coalesce(quantity, 1) % 20 AS w, 8 + length(coalesce(description, '')) % 12 AS h FROM items),"
+    " p AS (SELECT a.claim_id, a.pos AS first, c.pos AS second, greatest(0, least(a.x + a.w, c.x + c.w) - greatest(a.x, c.x)) * greatest(0, least(a.y + a.h, c.y + c.h) - greatest(a.y, c.y)) AS inter, least(a.w * a.h, c.w * c.h) AS area"
+    " FROM b a JOIN b c ON a.claim_id = c.claim_id AND a.page = c.page AND a.pos < c.pos) SELECT claim_id, first, second, round(inter / area::DOUBLE, 6) AS ratio FROM p WHERE inter > 0.5 * area",
 )
-def _i03(s, d):
-    """The overlaps among the first 60 boxes of a claim, which are all that its SQL asks for; i03_page_overlaps has every box."""
-    return _overlaps(_boxes(items(s, d).where("pos <= 60")))
-
-
-@book.add("i03_page_overlaps")
 def _i03_pages(s, d):
-    """The overlaps among all boxes of a claim, 60 boxes a page; its first page gives the rows of i03_box_overlaps."""
+    """The overlaps among all boxes of a claim, 60 boxes a page."""
     return _overlaps(_boxes(items(s, d)))
 
 

@@ -81,7 +81,7 @@ def _r022(s, d):
 
 @book.add("r025_history", f"WITH {CLAIMS_SQL}, o AS (SELECT claim_id, member_id, diagnosis, lag(diagnosis) OVER (PARTITION BY member_id ORDER BY date_of_service, claim_id) AS before FROM claims WHERE member_id IS NOT NULL AND date_of_service IS NOT NULL) SELECT claim_id, before, before IS NOT NULL AND diagnosis IS NOT NULL AND before <> diagnosis AS differs FROM o")
 def _r025(s, d):
-    c = claims(s, d).where("member_id IS NOT NULL AND date_of_service IS NOT NULL")
+    c = claims(s, d, keep="member_id IS NOT NULL AND date_of_service IS NOT NULL")
     before = F.lag("diagnosis").over(Window.partitionBy("member_id").orderBy("date_of_service", "claim_id"))
     return c.select("claim_id", before.alias("before"), "diagnosis").select("claim_id", "before", F.coalesce(F.col("before") != F.col("diagnosis"), F.lit(False)).alias("differs"))
 
@@ -90,7 +90,7 @@ def _r025(s, d):
 def _r032(s, d):
     # The collective claim is parted by description as well, so no task holds all its items.
     before = F.lag("amount").over(Window.partitionBy("claim_id", F.lower(F.trim("description"))).orderBy("pos"))
-    p = items(s, d).where("description IS NOT NULL").select("claim_id", "pos", "amount", before.alias("before"))
+    p = items(s, d, keep="description IS NOT NULL").select("claim_id", "pos", "amount", before.alias("before"))
     return p.where(F.round(F.abs(F.col("amount") - F.col("before")), 6) < P["near"]).select("claim_id", "pos", F.round(F.col("amount") - F.col("before"), 2).alias("delta"))
 
 
@@ -196,14 +196,13 @@ def _r14(s, d):
     return agent_results(s, d).groupBy("claim_id").agg(F.floor(F.round(F.least(F.lit(100.0), F.sum(F.col("confidence") * lvl) / (4.0 * F.count(F.lit(1))) * 100), 6)).cast("bigint").alias("score"))
 
 
-@book.add("r07_item_pairs", f"WITH {ITEMS_SQL}, k AS (SELECT DISTINCT claim_id, code FROM items WHERE code IS NOT NULL), c AS (SELECT claim_id FROM k GROUP BY 1 HAVING count(*) <= 40) SELECT a.code AS first, b.code AS second, count(*)::BIGINT AS claims FROM k a JOIN k b ON a.claim_id = b.claim_id AND a.code < b.code SEMI JOIN c ON c.claim_id = a.claim_id GROUP BY 1, 2")
+@book.add("r07_item_pairs", f"WITH {ITEMS_SQL}, k AS (SELECT DISTINCT claim_id, code FROM items WHERE code IS NOT NULL) SELECT a.code AS first, b.code AS second, count(*)::BIGINT AS claims FROM k a JOIN k b ON a.claim_id = b.claim_id AND a.code < b.code GROUP BY 1, 2")
 def _r07(s, d):
     """How often two codes are billed together, in claims of any number of codes.
 
-    The SQL leaves out claims of more than 40 different codes, of which the given tables have none. The pairs of such a
-    claim are spread over tasks by their first code.
+    The pairs of a claim of more than 40 different codes are spread over tasks by their first code.
     """
-    k = items(s, d).where("code IS NOT NULL").groupBy("claim_id").agg(F.sort_array(F.collect_set("code")).alias("c"))
+    k = items(s, d, keep="code IS NOT NULL").groupBy("claim_id").agg(F.sort_array(F.collect_set("code")).alias("c"))
     pairs = F.flatten(F.transform("c", lambda a: F.transform(F.filter("c", lambda b: b > a), lambda b: F.struct(a.alias("first"), b.alias("second")))))
     later = k.where(F.size("c") > 40).select("claim_id", F.posexplode("c").alias("i", "first"), "c").select("claim_id", "first", F.slice("c", F.col("i") + 2, F.size("c")).alias("later"))
     large = spread(later, None, "claim_id", "first").select("first", F.explode("later").alias("second"))
@@ -213,7 +212,7 @@ def _r07(s, d):
 @book.add("r07_peer_zscore", f"WITH {CLAIMS_SQL}, p AS (SELECT room_type, avg(billed_amount) AS m, stddev_pop(billed_amount) AS sd FROM claims WHERE billed_amount > 0 GROUP BY 1) SELECT claim_id, round((billed_amount - m) / sd, 4) AS z FROM claims JOIN p USING (room_type) WHERE billed_amount > 0 AND sd > 0")
 def _r07z(s, d):
     # Peers are grouped by room type, some of which hold a third of all rows: aggregate first, then join the few groups back.
-    c = claims(s, d, "claim_id", "room_type", "billed_amount").where("billed_amount > 0")
+    c = claims(s, d, "claim_id", "room_type", "billed_amount", keep="billed_amount > 0")
     p = c.groupBy("room_type").agg(F.avg("billed_amount").alias("m"), F.stddev_pop("billed_amount").alias("sd"))
     return c.join(p, "room_type").where("sd > 0").select("claim_id", F.round((F.col("billed_amount") - F.col("m")) / F.col("sd"), 4).alias("z"))
 
@@ -223,19 +222,19 @@ _GROUPS = ("Laboratory", "Radiology/Imaging", "Surgery")
 
 @book.add("r031_bundles", f"WITH {ITEMS_SQL} SELECT claim_id, category, count(*)::BIGINT AS n, round(0.15 * round(sum(amount), 2), 4) AS savings FROM items WHERE category IN ('Laboratory', 'Radiology/Imaging', 'Surgery') GROUP BY 1, 2 HAVING count(*) >= 3")
 def _r031(s, d):
-    return items(s, d).where(F.col("category").isin(*_GROUPS)).groupBy("claim_id", "category").agg(F.count(F.lit(1)).alias("n"), F.round(0.15 * F.round(F.sum("amount"), 2), 4).alias("savings")).where("n >= 3")
+    return items(s, d, keep=F.col("category").isin(*_GROUPS)).groupBy("claim_id", "category").agg(F.count(F.lit(1)).alias("n"), F.round(0.15 * F.round(F.sum("amount"), 2), 4).alias("savings")).where("n >= 3")
 
 
 @book.add("r034_upcoding", f"WITH {ITEMS_SQL}, p AS (SELECT category, median(amount) AS mid FROM items WHERE amount > 0 GROUP BY 1) SELECT claim_id, pos, round(amount / mid, 4) AS ratio FROM items JOIN p USING (category) WHERE amount > 0 AND round(amount / mid, 6) > 8")
 def _r034(s, d):
-    i = items(s, d).where("amount > 0")
+    i = items(s, d, keep="amount > 0")
     p = i.groupBy("category").agg(F.median("amount").alias("mid"))
     return i.join(p, "category").where("round(amount / mid, 6) > 8").select("claim_id", "pos", F.round(F.col("amount") / F.col("mid"), 4).alias("ratio"))
 
 
 @book.add("r06_reconciliation", f"WITH {CLAIMS_SQL}, {ITEMS_SQL}, f AS (SELECT claim_id, sum(amount) AS pharmacy FROM items WHERE category = 'Pharmacy' AND amount > 0 GROUP BY 1) SELECT claim_id, round(pharmacy, 2) AS pharmacy, coalesce(hospital_bill_total > 0 AND round(pharmacy, 2) > round(0.3 * hospital_bill_total, 2), false) AS flagged FROM claims JOIN f USING (claim_id)")
 def _r06(s, d):
-    f = items(s, d).where("category = 'Pharmacy' AND amount > 0").groupBy("claim_id").agg(F.sum("amount").alias("p"))
+    f = items(s, d, keep="category = 'Pharmacy' AND amount > 0").groupBy("claim_id").agg(F.sum("amount").alias("p"))
     h = F.col("hospital_bill_total")
     return claims(s, d, "claim_id", "hospital_bill_total").join(f, "claim_id").select("claim_id", F.round("p", 2).alias("pharmacy"), F.coalesce((h > 0) & (F.round("p", 2) > F.round(0.3 * h, 2)), F.lit(False)).alias("flagged"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -12,6 +12,15 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
     return frame.select(*columns) if columns else frame
 
 
+def once(frame: DataFrame, keys: list[str], keep: Column | str | None = None) -> DataFrame:
+    """Each key's row once, of those that the condition keeps.
+
+    Repeated rows are equal in every column, so filtering before they are dropped keeps the same keys; that way the
+    condition reaches the scan and only what passes is shuffled.
+    """
+    return (frame if keep is None else frame.where(keep)).dropDuplicates(keys)
+
+
 def spread(frame: DataFrame, rows_per_part: int | None = None, *keys: str) -> DataFrame:
     """Spread rows of CPU-heavy work over all cores: small files arrive as one partition.
 
