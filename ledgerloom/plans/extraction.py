@@ -224,15 +224,6 @@ def _e41(s, d):
     return codes(s, d).select("code_id", is_(F.upper("code"), r"^[A-Z][0-9]{2}(\.[0-9]{1,4})?$").alias("is_icd"), is_(F.col("code"), "^[0-9]{5}$").alias("is_cpt"), is_(F.upper("code"), "^[A-V][0-9]{4}$").alias("is_hcpcs"))
 
 
-_DATE_ANY = r"\b([0-9]{1,2}[./-][0-9]{1,2}[./-](?:20)[0-9]{2})\b"
-
-
-@book.add("e43_dates_in_text", f"WITH {_LINES}, m AS (SELECT scan_id, unnest(regexp_extract_all(line, '{_DATE_ANY}', 1)) AS t FROM lines) SELECT scan_id, CAST(TRY_STRPTIME(regexp_replace(t, '[./-]', '-', 'g'), '%d-%m-%Y') AS DATE) AS day, count(*)::BIGINT AS n FROM m GROUP BY 1, 2")
-def _e43(s, d):
-    m = lines(s, d).select("scan_id", F.explode(F.regexp_extract_all("line", F.lit(_DATE_ANY), F.lit(1))).alias("t"))
-    return m.groupBy("scan_id", D.parse_date(F.col("t")).alias("day")).agg(F.count(F.lit(1)).alias("n"))
-
-
 _DSQL = "coalesce(CASE WHEN regexp_matches(t, '^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$') THEN CAST(TRY_STRPTIME(t, '%Y-%m-%d') AS DATE) END, CASE WHEN regexp_matches(t, '^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}$') THEN CAST(TRY_STRPTIME(t, '%d-%m-%Y') AS DATE) END, CASE WHEN regexp_matches(t, '^[0-9]{1,2}-[0-9]{1,2}-[0-9]{2}$') THEN CAST(TRY_STRPTIME(regexp_extract(t, '^([0-9]{1,2}-[0-9]{1,2}-)', 1) || CASE WHEN CAST(right(t, 2) AS INTEGER) >= 50 THEN '19' ELSE '20' END || right(t, 2), '%d-%m-%Y') AS DATE) END, CASE WHEN regexp_matches(t, '^[0-9]{1,2}-[A-Za-z]{3}[a-z]*-[0-9]{4}$') THEN CAST(TRY_STRPTIME(regexp_replace(t, '^([0-9]{1,2}-[A-Za-z]{3})[a-z]*', '\\1'), '%d-%b-%Y') AS DATE) END)"
 
 

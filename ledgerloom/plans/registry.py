@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.operators import drift
-from ledgerloom.plans import cleaning, extraction, filters, joins, metrics, relational, rules, storage, streams
+from ledgerloom.plans import bills, cleaning, extraction, filters, forms, joins, metrics, relational, rules, storage, streams
 from ledgerloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,7 +30,7 @@ def p2_table(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumn("cells", F.to_json("cells"))
 
 
-_BOOKS = (filters, metrics, extraction, cleaning, rules, relational, joins, storage, streams)
+_BOOKS = (filters, metrics, extraction, forms, bills, cleaning, rules, relational, joins, storage, streams)
 
 
 def queries() -> dict[str, Query]:
