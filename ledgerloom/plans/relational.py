@@ -235,3 +235,30 @@ def _overlaps(b):
 def _i05(s, d):
     c = F.col("confidence")
     return items(s, d).select("claim_id", "pos", F.when(c >= 0.7, "checked").when(c >= 0.4, "unclear").when(c.isNull(), "missing").otherwise("empty").alias("state"))
+
+
+#: Sentence forms of generated examples; {0} is a house, {1} an amount.
+_FORMS = ("The patient was admitted to {0} .", "{0} billed Rs. {1} .", "Receipt of Rs. {1} from {0} is attached .")
+
+
+@book.add(
+    "t07_generated_examples",
+    f"WITH {CLAIMS_SQL}, f(k, form) AS (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(_FORMS)) + "), c AS (SELECT claim_id, trim(regexp_replace(hospital_name, '\\s+', ' ', 'g')) AS house, CAST(floor(billed_amount) AS BIGINT) AS amount, unnest([0, 1]) AS copy FROM claims WHERE hospital_name IS NOT NULL AND billed_amount IS NOT NULL)"
+    " SELECT claim_id, copy, replace(replace(form, '{0}', house), '{1}', CAST(amount AS VARCHAR)) AS text, (length(house) - length(replace(house, ' ', '')) + 1)::INTEGER AS entity_words FROM c JOIN f ON k = (claim_id + copy) % 3",
+)
+def _t07(s, d):
+    """Two labelled examples a claim from sentence forms: a form is picked by the id, so every run gives the same."""
+    c = claims(s, d, "claim_id", "hospital_name", "billed_amount", keep="hospital_name IS NOT NULL AND billed_amount IS NOT NULL")
+    house = F.trim(F.regexp_replace("hospital_name", r"\s+", " "))
+    c = c.select("claim_id", house.alias("house"), F.floor("billed_amount").cast("bigint").cast("string").alias("amount"), F.explode(F.array(F.lit(0), F.lit(1))).alias("copy"))
+    form = F.element_at(F.array(*[F.lit(t) for t in _FORMS]), (F.pmod(F.col("claim_id") + F.col("copy"), F.lit(3)) + 1).cast("int"))
+    return c.select("claim_id", "copy", F.replace(F.replace(form, F.lit("{0}"), F.col("house")), F.lit("{1}"), F.col("amount")).alias("text"), F.size(F.split("house", " ")).alias("entity_words"))
+
+
+@book.add("g29_registered_rules", f"WITH {CLAIMS_SQL} SELECT 'dear' AS rule, count(*) FILTER (WHERE billed_amount > 100000)::BIGINT AS claims FROM claims UNION ALL SELECT 'no diagnosis', count(*) FILTER (WHERE diagnosis IS NULL)::BIGINT FROM claims")
+def _g29(s, d):
+    """A registry of rules, name to function of a frame, is how others add operators; here two, counted in one pass each."""
+    registry = {"dear": lambda f: f.where("billed_amount > 100000"), "no diagnosis": lambda f: f.where("diagnosis IS NULL")}
+    c = claims(s, d, "claim_id", "billed_amount", "diagnosis")
+    parts = [rule(c).agg(F.lit(name).alias("rule"), F.count(F.lit(1)).alias("claims")) for name, rule in registry.items()]
+    return parts[0].unionByName(parts[1])
