@@ -56,6 +56,8 @@ _KIND = {w: k for k, v in KINDS.items() for w in v.split()}
 #: Kinds that tell houses of one name apart.
 _FIELDS = ("eye", "children", "dental", "heart", "diagnostics", "nursing", "charitable", "multispeciality", "research")
 _LOOKS = str.maketrans("015", "ols")
+#: By how much a name may be longer than what it begins with and be short for; a longer one is two names run together.
+LONGER = 5
 
 
 def distance(a: str, b: str, most: int = 3) -> int:
@@ -103,6 +105,35 @@ def similarity(a: str, b: str) -> float:
     return max(0.0, 1 - d / n) if d <= 3 else 0.0
 
 
+_SOFT = str.maketrans("cfi", "etl")
+
+
+@lru_cache(200_000)
+def _letters(w: str) -> tuple[int, int]:
+    """The letters of a word as bits, those misread for each other as one, and how many pairs of letters in it may be one misread."""
+    bits = 0
+    for c in w.translate(_SOFT):
+        bits |= 1 << (ord(c) & 63)
+    return bits, sum(w.count(long) for long, _ in _MISREAD[:4])
+
+
+def alike(a: str, b: str, least: float) -> float:
+    """similarity(a, b) if it is at least so much, else 0.
+
+    Each edit changes the set of letters by two at most, a pair of letters read as one by three and the length by one, so
+    most words are told apart by their letters alone.
+    """
+    if a == b:
+        return 1.0
+    (bits_a, pairs_a), (bits_b, pairs_b) = _letters(a), _letters(b)
+    most = min(3, int((1 - least) * max(len(a), len(b)) + 1e-9))
+    pairs = pairs_a + pairs_b
+    if (bits_a ^ bits_b).bit_count() > 2 * most + 3 * pairs or abs(len(a) - len(b)) > most + pairs:
+        return 0.0
+    s = similarity(a, b)
+    return s if s >= least else 0.0
+
+
 def words(name: str | None) -> list[str]:
     """Lower-case words without titles; joined capitals are parted and figures inside words read as letters."""
     text = rx(r"(?<=\p{Ll})(?=\p{Lu}\p{Ll}{2})").sub(" ", name or "")
@@ -171,6 +202,7 @@ def monge_elkan(a: list[str], b: list[str], inner) -> float:
     return sum(max(inner(x, y) for y in b) for x in a) / len(a) if a and b else 0.0
 
 
+@lru_cache(100_000)
 def _stem(w: str) -> str:
     """The first three letters, with c and k alike and doubles single: what pet forms keep of a name."""
     return rx(r"(.)\1").sub(r"\1", rx("ck?").sub("k", w))[:3]
@@ -183,19 +215,61 @@ def _inner(common: dict[str, int]):
         if len(x) == 1 or len(y) == 1:
             return 0.9 if x[0] == y[0] else 0.0
         short, long = sorted((x, y), key=len)
-        if len(short) >= 3 and long.startswith(short):
+        if len(short) >= 3 and len(long) - len(short) <= LONGER and long.startswith(short):
             return 0.95
         fx, fy = common.get(x, 1), common.get(y, 1)
         if min(fx, fy) >= 10 and min(fx, fy) >= 0.1 * max(fx, fy) and not (len(short) <= 5 and short[:3] == long[:3]):
             return 0.0
-        s = similarity(x, y)
+        s = alike(x, y, 0.7)
         if s < 0.75 and len(short) <= 6 and len(long) > len(short) and _stem(short) == _stem(long) and short[-1] in "aeiouy":
             return 0.85  # a pet form
-        return s if s >= 0.7 else 0.0
+        return s
 
     return like
 
 
+@lru_cache(100_000)
+def _profile(name: str) -> tuple:
+    """What possible() compares of a name: its words, and its letters as a whole."""
+    ws = name.split()
+    parts = [("k" if w[0] == "c" else w[0], len(w), *_letters(w)) for w in ws]
+    joined = "".join(ws)
+    pairs = max(_letters(j)[1] for j in (joined, "".join(sorted(ws)), "".join(reversed(ws))))
+    cuts = {e for w in ws if len(w) >= 3 for e in ("<" + w[:2], w[-2:] + ">")}
+    long_cuts = {e for w in ws if len(w) >= 8 for e in ("<" + w[:2], w[-2:] + ">")}
+    return parts, len(joined), _letters(joined)[0], pairs, cuts, long_cuts
+
+
+def possible(a: str, b: str) -> bool:
+    """False only where same_person gives 0: the letters of the words, and of the names as a whole, are too different.
+
+    Words can be alike only if they begin alike (c and k are one) or their letters differ by what their edits allow.
+    """
+    one, two = _profile(a), _profile(b)
+    if len(one[0]) > len(two[0]):
+        one, two = two, one
+    (parts, n, bits, pairs, cuts, long_cuts), (others, m, bits_2, pairs_2, cuts_2, long_2) = one, two
+    lone = None
+    for c, k, x, p in parts:
+        for d, j, y, q in others:
+            if c == d:
+                break
+            most = min(3, int(0.3 * (k if k > j else j) + 1e-9))
+            if (x ^ y).bit_count() <= 2 * most + 3 * (p + q) and -most - p - q <= k - j <= most + p + q:
+                break
+        else:
+            lone = k + 3 + p
+            break
+    else:
+        return True
+    if (bits ^ bits_2).bit_count() <= 6 + 3 * (pairs + pairs_2) and abs(n - m) <= 3 + pairs + pairs_2:
+        return True  # run together as a whole
+    if not (long_cuts.isdisjoint(cuts_2) and long_2.isdisjoint(cuts)):
+        return True  # one word may be two
+    sizes = sorted(j for _, j, _, _ in others if j > 1)
+    return len(sizes) > 1 and sizes[0] + sizes[1] <= lone + pairs_2  # a word may be two of the other's
+
+
 def same_person(a: list[str], b: list[str], common: dict[str, int]) -> tuple[float, bool]:
     """Likeness in 0..1 (0: can't be variants of one name) and whether the given names agree by more than initials."""
     best = _aligned(a, b, common)
@@ -231,7 +305,7 @@ def _aligned(a: list[str], b: list[str], common: dict[str, int]) -> tuple[float,
     parted = False
     for x in list(left_a):  # words run together
         for p, q in ((p, q) for p in b for q in b if p != q and len(p) > 1 and len(q) > 1):
-            if similarity(x, p + q) >= 0.85:
+            if alike(x, p + q, 0.85):
                 left_a.remove(x)
                 left_b = [w for w in left_b if w not in (p, q)]
                 matched += [(similarity(x, p + q), p, p), (1.0, q, q)]
@@ -241,11 +315,14 @@ def _aligned(a: list[str], b: list[str], common: dict[str, int]) -> tuple[float,
     if left_a or not full or max(len(m[1]) for m in full) < 3:
         joined = "".join(sorted(a)), "".join(sorted(b))
         straight = "".join(a), "".join(b)
-        s = max(similarity(*joined), similarity(*straight), similarity(straight[0], "".join(reversed(b))))
-        return (s, True) if s >= 0.85 and min(len(straight[0]), len(straight[1])) >= 6 else (0.0, False)
+        if min(len(straight[0]), len(straight[1])) < 6:
+            return 0.0, False
+        s = max(alike(*joined, 0.85), alike(*straight, 0.85), alike(straight[0], "".join(reversed(b)), 0.85))
+        return (s, True) if s else (0.0, False)
     if not parted and len(a) > 1 and not _given_names_agree(a, b, at):
         return 0.0, False
-    score = monge_elkan(a, b, like)
+    # A word that is two of the other's has no single counterpart: then the mean is over what was matched.
+    score = sum(m[0] for m in matched) / len(matched) if parted else monge_elkan(a, b, like)
     return score, len(full) >= 2 or (len(a) == 1 and len(b) == 1)
 
 
@@ -262,14 +339,30 @@ def _given_names_agree(a: list[str], b: list[str], at: set[tuple[int, int]]) ->
     return False
 
 
+#: Ways of writing one sound.
+_SOUNDS = (("ee", "i"), ("oo", "u"), ("aa", "a"), ("w", "v"), ("ck", "k"), ("c", "k"))
+
+
+@lru_cache(100_000)
+def _sound(name: str) -> str:
+    for a, b in _SOUNDS:
+        name = name.replace(a, b)
+    return rx(r"(.)\1").sub(r"\1", name)
+
+
+def likeness(own_a: str, own_b: str) -> float:
+    """How alike two names of houses are as written or as spoken."""
+    return max(similarity(own_a, own_b), similarity(_sound(own_a), _sound(own_b)))
+
+
 def same_house(a: tuple[str, list[str]], b: tuple[str, list[str]]) -> float:
     own_a, kinds_a = a
     own_b, kinds_b = b
     if not own_a or not own_b:
         return 0.0
-    s = similarity(own_a, own_b)
+    s = likeness(own_a, own_b)
     n = min(len(own_a), len(own_b))
-    if s < (0.66 if n >= 6 else 0.75):
+    if s < (0.7 if n >= 6 else 0.75):
         return 0.0
     fields = [set(k) & set(_FIELDS) for k in (kinds_a, kinds_b)]
     if fields[0] and fields[1] and fields[0] != fields[1] and not (fields[0] & fields[1]):
@@ -313,6 +406,12 @@ def nodes(mentions: DataFrame) -> tuple[DataFrame, DataFrame]:
     return durable(signed), parsed.join(alike, ["kind", "name", "kinds", "k1", "k2"]).select("id", "mention_id")
 
 
+@lru_cache(100_000)
+def _counts(common: str) -> dict[str, int]:
+    """word=count pairs as a dictionary."""
+    return {k: int(v) for k, _, v in (x.partition("=") for x in common.split())}
+
+
 def variant_links(signed: DataFrame) -> DataFrame:
     """(a, b, weight, sure): verified links between nodes."""
     frequency = signed.where("kind = 'p'").select("id", F.explode(F.split("name", " ")).alias("w"))
@@ -343,9 +442,12 @@ def variant_links(signed: DataFrame) -> DataFrame:
                         one, two = r.k1_a != "" and r.k1_a == r.k1_b, r.k2_a != "" and r.k2_a == r.k2_b
                         if not (one or two):
                             continue
-                        common = {k: int(v) for k, _, v in (x.partition("=") for x in f"{r.common_a} {r.common_b}".split())}
+                        if not possible(r.name_a, r.name_b):
+                            continue
+                        common = _counts(r.common_a) | _counts(r.common_b)
                         s, full = same_person(r.name_a.split(), r.name_b.split(), common)
-                        apart = r.k1_a != "" and r.k1_b != "" and not one
+                        # Another birth date, or another policy by more than a slip, speaks against: then the whole names must agree.
+                        apart = (r.k1_a != "" and r.k1_b != "" and not one) or (r.k2_a != "" and r.k2_b != "" and not two and distance(r.k2_a, r.k2_b, 1) > 1)
                         if s >= 0.7 and (not apart or (full and s >= 0.9)):
                             out.append((r.a, r.b, s + 0.5 * (one + two), bool(full and not apart)))
                     else:
@@ -353,6 +455,8 @@ def variant_links(signed: DataFrame) -> DataFrame:
                             continue
                         if r.k2_a and r.k2_b and r.k2_a != r.k2_b and distance(r.k2_a, r.k2_b) > 2 and r.k1_a != r.k1_b:
                             continue
+                        if r.k2_a and r.k2_b and distance(r.k2_a, r.k2_b, 1) > 1 and likeness(r.name_a, r.name_b) < 0.8:
+                            continue  # another PIN: only the very same name
                         s = same_house((r.name_a, r.kinds_a.split()), (r.name_b, r.kinds_b.split()))
                         if s:
                             fields = [set(k.split()) & set(_FIELDS) for k in (r.kinds_a, r.kinds_b)]
