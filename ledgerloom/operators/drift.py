@@ -30,18 +30,13 @@ def path_values(raw: DataFrame) -> DataFrame:
 
     The wrapper "fields" is opened; fields beside claim_id are taken as they stand. claim_id itself is no field.
     """
-    rows = raw.select("raw_id", "feed_id", "file_no", "payload").distinct().select("raw_id", "feed_id", "file_no", F.expr("try_parse_json(payload)").alias("v"))
-    rows.createOrReplaceTempView("_drift_rows")
-    spark = raw.sparkSession
-    outer = spark.sql(
-        "SELECT r.raw_id, r.feed_id, r.file_no, try_variant_get(r.v, '$.claim_id', 'string') AS claim_id, e.key AS k, e.value AS x FROM _drift_rows r, LATERAL variant_explode(r.v) e "
-        "WHERE r.v IS NOT NULL AND schema_of_variant(r.v) LIKE 'OBJECT%' AND e.key <> 'claim_id'"
-    )
-    outer.createOrReplaceTempView("_drift_outer")
-    fields = spark.sql(
-        "SELECT raw_id, feed_id, file_no, claim_id, k, x FROM _drift_outer WHERE k <> 'fields' UNION ALL "
-        "SELECT o.raw_id, o.feed_id, o.file_no, o.claim_id, e.key, e.value FROM _drift_outer o, LATERAL variant_explode(o.x) e WHERE o.k = 'fields' AND schema_of_variant(o.x) LIKE 'OBJECT%' AND e.key <> 'claim_id'"
-    )
+    members = raw.sparkSession.tvf.variant_explode
+    rows = raw.select("raw_id", "feed_id", "file_no", "payload").distinct().select("raw_id", "feed_id", "file_no", F.try_parse_json("payload").alias("v")).where("v IS NOT NULL AND schema_of_variant(v) LIKE 'OBJECT%'")
+    keys = ["raw_id", "feed_id", "file_no", F.try_variant_get("v", "$.claim_id", "string").alias("claim_id")]
+    outer = rows.lateralJoin(members(F.col("v").outer())).where("key <> 'claim_id'").select(*keys, F.col("key").alias("k"), F.col("value").alias("x"))
+    wrapped = outer.where("k = 'fields' AND schema_of_variant(x) LIKE 'OBJECT%'")
+    inner = wrapped.lateralJoin(members(F.col("x").outer())).where("key <> 'claim_id'").select("raw_id", "feed_id", "file_no", "claim_id", F.col("key").alias("k"), F.col("value").alias("x"))
+    fields = outer.where("k <> 'fields'").unionByName(inner)
     return fields.withColumn("t", F.expr("schema_of_variant(x)")).select(
         "raw_id",
         "feed_id",
@@ -100,11 +95,12 @@ def schema_changes(raw: DataFrame, paths: DataFrame | None = None) -> DataFrame:
     """(feed_id, file_no, field_name, change_kind, old_name): every change of a file against the one before it."""
     paths = durable(path_values(raw)) if paths is None else paths
     files = raw.select("feed_id", "file_no").where("feed_id IS NOT NULL AND file_no IS NOT NULL").distinct()
-    files = files.withColumn("before", F.lag("file_no").over(Window.partitionBy("feed_id").orderBy("file_no"))).where("before IS NOT NULL")
-    schemas = file_schemas(paths)
+    # Each of the small tables below is read several times; written once, no branch works it out again.
+    files = durable(files.withColumn("before", F.lag("file_no").over(Window.partitionBy("feed_id").orderBy("file_no"))).where("before IS NOT NULL"))
+    schemas = durable(file_schemas(paths))
     new = files.join(schemas, ["feed_id", "file_no"]).select("feed_id", "file_no", "field_name", F.col("main_type").alias("new_type"))
     old = files.join(schemas.withColumnRenamed("file_no", "before"), ["feed_id", "before"]).select("feed_id", "file_no", "field_name", F.col("main_type").alias("old_type"), F.lit(True).alias("was"))
-    both = new.withColumn("is", F.lit(True)).join(old, ["feed_id", "file_no", "field_name"], "full")
+    both = durable(new.withColumn("is", F.lit(True)).join(old, ["feed_id", "file_no", "field_name"], "full"))
     gone = both.where("is IS NULL").select("feed_id", "file_no", F.col("field_name").alias("old_name"))
     come = both.where("was IS NULL").select("feed_id", "file_no", F.col("field_name").alias("new_name"))
     retyped = both.where("is AND was AND new_type <> old_type").select("feed_id", "file_no", "field_name", F.lit("retyped").alias("change_kind"), F.lit(None).cast("string").alias("old_name"))
@@ -128,6 +124,7 @@ def schema_changes(raw: DataFrame, paths: DataFrame | None = None) -> DataFrame:
         .where("by_old = 1 AND by_new = 1")
         .select("feed_id", "file_no", "old_name", "new_name")
     )
+    mutual = durable(mutual)
     renamed = mutual.select("feed_id", "file_no", F.col("new_name").alias("field_name"), F.lit("renamed").alias("change_kind"), "old_name")
     added = come.join(mutual, ["feed_id", "file_no", "new_name"], "left_anti").select("feed_id", "file_no", F.col("new_name").alias("field_name"), F.lit("added").alias("change_kind"), F.lit(None).cast("string").alias("old_name"))
     removed = gone.join(mutual, ["feed_id", "file_no", "old_name"], "left_anti").select("feed_id", "file_no", F.col("old_name").alias("field_name"), F.lit("removed").alias("change_kind"), F.lit(None).cast("string").alias("old_name"))
@@ -141,8 +138,8 @@ MAX_NAMES = 20_000
 def unified_names(changes: DataFrame, paths: DataFrame) -> dict[str, str]:
     """Each field name to the name of its group, following renames over all feeds; the commonest name stands for a group.
 
-    Only distinct names reach the driver, and their number is checked against MAX_NAMES. A rename counts if at least
-    two feeds, or a tenth of the feeds with that old name, agree on it, so that one chance match joins no groups.
+    Only distinct names reach the driver, and their number is checked against MAX_NAMES. A rename counts if at least a
+    tenth of the feeds in which the old name goes agree on it, so that one chance match joins no groups.
     """
     edges = changes.where("change_kind = 'renamed'").groupBy("old_name", "field_name").agg(F.count_distinct("feed_id").alias("n"))
     total = edges.groupBy("old_name").agg(F.sum("n").alias("all"))
@@ -152,6 +149,10 @@ def unified_names(changes: DataFrame, paths: DataFrame) -> dict[str, str]:
         raise ValueError(f"more than {MAX_NAMES} field names: payload keys hold data")
     weight = {r["field_name"]: r["count"] for r in names}
     parent = {n: n for n in weight}
+    # Ways of writing one name (policyNumber, policy_number) are one field without any rename.
+    written: dict[str, str] = {}
+    for n in sorted(weight, key=lambda n: (-weight[n], n)):
+        parent[n] = written.setdefault("".join(c for c in n.lower() if c.isalnum()) or n, n)
 
     def root(n: str) -> str:
         while parent[n] != n:
@@ -168,28 +169,34 @@ def unified_names(changes: DataFrame, paths: DataFrame) -> dict[str, str]:
 
 
 def unified_cells(raw: DataFrame) -> DataFrame:
-    """(feed_id, file_no, claim_id, field_name, raw_name, json_type, value, main_kind, value_text, value_number, value_date, cast_failed).
+    """(raw_id, feed_id, file_no, claim_id, field_name, raw_name, json_type, value, main_kind, value_text, value_number, value_whole, value_date, cast_failed).
 
-    main_kind is what most non-null cells of the unified field are: date, number, boolean or text. A cell whose fact is
-    of another kind keeps its raw value, has null typed values and cast_failed.
+    main_kind is what most non-null cells of the unified field are: date, whole, number, boolean or text; numbers are
+    whole if all cells of the field that are numbers are, so that long ids keep their digits. A cell whose fact is of
+    another kind keeps its raw value, has null typed values and cast_failed.
     """
-    spark = raw.sparkSession
     paths = durable(path_values(raw))
     names = unified_names(schema_changes(raw, paths), paths)
     if not names:
         names = {"": ""}
     mapping = F.create_map(*[F.lit(x) for kv in sorted(names.items()) for x in kv])
     cells = paths.withColumn("raw_name", F.col("field_name")).withColumn("field_name", F.try_element_at(mapping, F.col("raw_name")))
-    facts = F.array_compact(F.transform(_leaves(F.col("json_type"), F.col("value")), _fact))
+    leaves = _leaves(F.col("json_type"), F.col("value"))
+    facts = F.array_compact(F.transform(leaves, _fact))
     cells = cells.withColumn("facts", F.when(F.col("json_type") != "null", facts)).withColumn("first", F.get("facts", F.lit(0)))
     kind = F.when(F.col("json_type") == "boolean", "boolean").when(F.col("first").startswith("d:"), "date").when(F.col("first").startswith("n:"), "number").when(F.col("first").isNotNull(), "text")
-    cells = cells.withColumn("kind", kind)
+    whole = F.regexp_replace(F.get(F.filter(leaves, lambda x: _fact(x).isNotNull()), F.lit(0)), r"[,\s]", "").try_cast("bigint")
+    cells = cells.withColumn("kind", kind).withColumn("whole", F.when(F.col("kind") == "number", whole))
     order = Window.partitionBy("field_name").orderBy(F.col("n").desc(), "main_kind")
-    kinds = cells.where("kind IS NOT NULL").groupBy("field_name", F.col("kind").alias("main_kind")).agg(F.count(F.lit(1)).alias("n")).withColumn("r", F.row_number().over(order)).where("r = 1").select("field_name", "main_kind")
+    counted = cells.where("kind IS NOT NULL").groupBy("field_name", F.col("kind").alias("main_kind")).agg(F.count(F.lit(1)).alias("n"), F.every(F.col("whole").isNotNull()).alias("all_whole"))
+    kinds = counted.withColumn("r", F.row_number().over(order)).where("r = 1").select("field_name", F.when(F.col("all_whole"), "whole").otherwise(F.col("main_kind")).alias("main_kind"))
     cells = cells.join(kinds, "field_name", "left")
-    ok = (F.col("main_kind") == "text") | (F.col("kind") == F.col("main_kind")) | ((F.col("main_kind") == "boolean") & F.col("first").isin("n:1.0", "n:0.0"))
-    typed = lambda k, c: F.when((F.col("main_kind") == k) & ok, c)
+    main = F.col("main_kind")
+    ok = (main == "text") | (F.col("kind") == main) | ((main == "whole") & F.col("whole").isNotNull()) | ((main == "boolean") & F.col("first").isin("n:1.0", "n:0.0"))
+    typed = lambda k, c: F.when((main == k) & ok, c)
+    number = F.substring("first", 3, 40).try_cast("double")
     return cells.select(
+        "raw_id",
         "feed_id",
         "file_no",
         "claim_id",
@@ -198,19 +205,57 @@ def unified_cells(raw: DataFrame) -> DataFrame:
         "json_type",
         "value",
         "main_kind",
-        F.when(F.col("main_kind") == "text", F.array_join(F.transform("facts", lambda f: F.substring(f, 3, 1_000_000)), "; ")).alias("value_text"),
-        F.coalesce(typed("number", F.substring("first", 3, 40).try_cast("double")), typed("boolean", F.substring("first", 3, 40).try_cast("double"))).alias("value_number"),
+        F.when(main == "text", F.array_join(F.transform("facts", lambda f: F.substring(f, 3, 2_147_483_647)), "; ")).alias("value_text"),
+        F.coalesce(typed("number", number), typed("boolean", number)).alias("value_number"),
+        typed("whole", F.col("whole")).alias("value_whole"),
         typed("date", F.substring("first", 3, 10).try_cast("date")).alias("value_date"),
         ((F.col("json_type") != "null") & ~F.coalesce(ok, F.lit(False))).alias("cast_failed"),
     )
 
 
+#: More fields than this make no table that anyone could use; unified_cells has them as rows.
+MAX_COLUMNS = 2_000
+#: The typed value and the column type of each kind.
+_KINDS = {"text": ("value_text", "string"), "number": ("value_number", "double"), "boolean": ("value_number", "boolean"), "whole": ("value_whole", "bigint"), "date": ("value_date", "date")}
+
+
+def typed_table(raw: DataFrame, cells: DataFrame | None = None) -> DataFrame:
+    """(raw_id, feed_id, file_no, claim_id, failed_casts, one typed column a unified field): one row per exported record.
+
+    Where a record has a field more than once, under several raw names, the value counts that could be cast, then the one
+    under the unified name, then the first by raw name. Records without any field are not in the table. The columns'
+    names are the unified names; one that clashes with a key gets "field_" before it.
+    """
+    cells = durable(unified_cells(raw)) if cells is None else cells
+    fields = cells.groupBy("field_name").agg(F.max("main_kind").alias("kind")).orderBy("field_name").limit(MAX_COLUMNS + 1).collect()
+    if len(fields) > MAX_COLUMNS:
+        raise ValueError(f"more than {MAX_COLUMNS} fields; use unified_cells")
+    keys = ["raw_id", "feed_id", "file_no", "claim_id"]
+    # Fixed order of preference; min() keeps the best, combined before the shuffle.
+    rank = F.struct(F.col("cast_failed"), (F.col("raw_name") != F.col("field_name")).alias("other"), "raw_name")
+    columns = []
+    for f in fields:
+        value, kind = _KINDS[f["kind"] or "text"]
+        name = f["field_name"] if f["field_name"] not in (*keys, "failed_casts") else f"field_{f['field_name']}"
+        mine = (F.col("field_name") == f["field_name"]) & F.col(value).isNotNull()
+        columns.append(F.min(F.when(mine, F.struct(rank.alias("rank"), F.col(value).alias("v"))))["v"].cast(kind).alias(name))
+    return cells.groupBy(*keys).agg(F.count_if("cast_failed").alias("failed_casts"), *columns)
+
+
 def consistent_table(raw: DataFrame) -> DataFrame:
-    """(feed_id, file_no, claim_id, cells MAP<name, text>, failed): one row per exported claim under unified field names."""
-    cell = F.coalesce(F.col("value_date").cast("string"), F.col("value_number").cast("string"), F.col("value_text"))
-    return (
-        unified_cells(raw)
-        .withColumn("cell", cell)
-        .groupBy("feed_id", "file_no", "claim_id")
-        .agg(F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("cell").isNotNull(), F.struct("field_name", "cell"))))).alias("cells"), F.count_if("cast_failed").alias("failed_casts"))
-    )
+    """(raw_id, feed_id, file_no, claim_id, cells MAP<name, text>, failed_casts): the same rows for any number of fields.
+
+    Which value of a field that a record has more than once counts is as in typed_table.
+    """
+    keys = ["raw_id", "feed_id", "file_no", "claim_id"]
+    cell = F.coalesce(F.col("value_date").cast("string"), F.col("value_whole").cast("string"), F.col("value_number").cast("string"), F.col("value_text"))
+    rank = F.struct(F.col("cast_failed"), (F.col("raw_name") != F.col("field_name")).alias("other"), "raw_name")
+    one = unified_cells(raw).withColumn("cell", cell).groupBy(*keys, "field_name").agg(F.min_by("cell", rank).alias("cell"), F.count_if("cast_failed").alias("failed"))
+    entries = F.collect_list(F.when(F.col("cell").isNotNull(), F.struct("field_name", "cell")))
+    return one.groupBy(*keys).agg(F.map_from_entries(F.array_sort(entries)).alias("cells"), F.sum("failed").alias("failed_casts"))
+
+
+def cast_report(cells: DataFrame) -> DataFrame:
+    """(field_name, main_kind, raw_name, json_type, cells, failed, example): what of each field could not be cast, with an example."""
+    failed = F.when(F.col("cast_failed"), F.col("value"))
+    return cells.groupBy("field_name", "main_kind", "raw_name", "json_type").agg(F.count(F.lit(1)).alias("cells"), F.count_if("cast_failed").alias("failed"), F.min(failed).alias("example"))

@@ -23,18 +23,20 @@ def p2_cells(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_table(spark: SparkSession, folder: str) -> DataFrame:
-    """The consistent table; cells as JSON text, as maps don't compare."""
-    from pyspark.sql import functions as F
+    """The consistent table: one typed column a unified field."""
+    return drift.typed_table(table(spark, folder, "raw_extractions", "raw_id", "feed_id", "file_no", "payload"))
 
-    rows = drift.consistent_table(table(spark, folder, "raw_extractions", "raw_id", "feed_id", "file_no", "payload"))
-    return rows.withColumn("cells", F.to_json("cells"))
+
+def p2_casts(spark: SparkSession, folder: str) -> DataFrame:
+    """The report of casts that failed."""
+    return drift.cast_report(drift.unified_cells(table(spark, folder, "raw_extractions", "raw_id", "feed_id", "file_no", "payload")))
 
 
 _BOOKS = (filters, metrics, extraction, forms, bills, cleaning, rules, relational, joins, storage, streams)
 
 
 def queries() -> dict[str, Query]:
-    out: dict[str, Query] = {"p2_found": p2_found, "p2_cells": p2_cells, "p2_table": p2_table}
+    out: dict[str, Query] = {"p2_found": p2_found, "p2_cells": p2_cells, "p2_table": p2_table, "p2_casts": p2_casts}
     for module in _BOOKS:
         out |= module.book.queries
     return out

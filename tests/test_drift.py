@@ -50,3 +50,25 @@ def test_unified_cells_report_failed_casts(spark):
 def test_extra_columns_do_not_matter(spark):
     extra = frame(spark, [(1, 1, {"claim_id": "1", "a": 1}), (1, 2, {"claim_id": "1", "c": "z"})]).selectExpr("*", "1 AS v", "'x' AS field_name", "2 AS before")
     assert {r.field_name for r in drift.schema_changes(extra).collect()} == {"a", "c"}
+
+
+def test_typed_columns_and_the_report_of_failed_casts(spark):
+    big = 123456789012345678
+    rows = [
+        (1, 1, {"claim_id": "1", "policyNo": big, "seen": "01.02.2024", "ok": True, "name": "A B"}),
+        (1, 1, {"claim_id": None, "policy_no": big + 1, "policyNo": big + 2, "seen": "soon", "ok": "no"}),
+        (1, 1, {"claim_id": None, "policy_no": 5, "raw_id": "x"}),
+        (1, 1, {"claim_id": "1", "policy_no": 6}),
+        (1, 1, None),
+    ]
+    cells = drift.unified_cells(frame(spark, rows))
+    table = drift.typed_table(frame(spark, rows), cells)
+    kinds = dict(table.dtypes)
+    name = "policy_no" if "policy_no" in kinds else "policyNo"
+    assert (kinds[name], kinds["seen"], kinds["ok"], kinds["name"], kinds["field_raw_id"]) == ("bigint", "date", "boolean", "string", "string")
+    got = {r.raw_id: r for r in table.collect()}
+    assert len(got) == 4 and got[0][name] == big and got[0].seen.isoformat() == "2024-02-01" and got[0].ok is True and got[1].ok is False
+    assert got[1][name] == (big + 1 if name == "policy_no" else big + 2) and got[1].failed_casts == 1 and got[2].claim_id is None
+    report = {(r.field_name, r.json_type): (r.cells, r.failed, r.example) for r in drift.cast_report(cells).collect()}
+    assert report["seen", "string"] == (2, 1, "soon")
+    assert drift.typed_table(frame(spark, [])).collect() == []
