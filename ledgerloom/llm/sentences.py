@@ -3,8 +3,9 @@
 Method: unsupervised abbreviation, collocation and sentence-starter statistics per language, by log-likelihood ratios
 over all documents; then every period is classified with them. A first pass counts, per language of a block, how
 often a type stands with and without a period, ends a block with it or is followed by a small letter, which words
-follow sure sentence ends, and which follow a number with a period. Spark sums the counts; only what passes its
-threshold reaches the driver, with a checked size. The second pass splits.
+follow sure sentence ends, and which follow a number or a short type with a period. Spark sums the counts; only what
+passes its threshold reaches the driver, with a checked size. The second pass splits: a word that is a collocation of
+the abbreviation or number before it, and no sentence starter, goes on with the sentence.
 
 Layout comes first: a blank line ends a unit; in a block whose lines are all list lines or form lines each line is a
 unit; other lines of a block run on. Speech in quotes inside a sentence doesn't end it.
@@ -124,11 +125,13 @@ def _kind(line: str) -> str:
 
 @dataclass
 class Model:
-    """What was learned: (lang, type) of abbreviations (True: may end a sentence too), starters, (lang, word) after ordinals."""
+    """What was learned: (lang, type) of abbreviations (True: may end a sentence too), starters, and collocations:
+    (lang, word) after numbers, (lang, type, word) after types with a period."""
 
     abbreviations: dict[tuple[str, str], bool] = field(default_factory=dict)
     starters: set[tuple[str, str]] = field(default_factory=set)
     ordinals: set[tuple[str, str]] = field(default_factory=set)
+    collocations: set[tuple[str, str, str]] = field(default_factory=set)
 
 
 def _before(block: str, at: int) -> str:
@@ -163,12 +166,12 @@ def count(text: str | None, lang: str | None, into: Counter) -> None:
     for a, b, _ in blocks(text or ""):
         block = text[a:b]
         lg = language(block, lang)
-        for t in _TOKEN.findall(block.lower()):
+        for t, n in Counter(_TOKEN.findall(block.lower())).items():
             w = t.rstrip(".")
             if "'" in w or "’" in w:
                 w = w.replace("’", "'").rpartition("'")[2]
             if w and len(w) <= 40 and (w[0].isalpha() or not _is_number(w)):
-                into[lg, "all", w] += 1
+                into[lg, "all", w] += n
         into[lg, "blocks", ""] += 1
         quotes = [q for q in _quoted(block) if block[q[0]] != "("]
         at = 0
@@ -192,6 +195,8 @@ def count(text: str | None, lang: str | None, into: Counter) -> None:
                 if not t or len(t) > 40:
                     continue
                 into[lg, "dot", t] += 1
+                if word and (len(t) <= 6 or "." in t):
+                    into[lg, "pair", f"{t} {word.lower()}"] += 1
                 into[lg, "dots", ""] += 1
                 into[lg, "final", t] += final
                 into[lg, "finals", ""] += final
@@ -213,6 +218,20 @@ def _llr(k: float, n: float, p0: float, p1: float) -> float:
     return -2 * (k * math.log(p0) + (n - k) * math.log(1 - p0) - k * math.log(p1) - (n - k) * math.log(1 - p1))
 
 
+#: The log-likelihood ratio that a collocation must reach: one chance in two hundred.
+COLLOCATED = 7.88
+
+
+def collocation_ratio(k: float, first: float, second: float, n: float) -> float:
+    """Dunning's ratio for `second` following `first` k times, over n tokens; negative if it follows less often than chance."""
+    if not 0 < first < n or k <= 0:
+        return 0.0
+    second = max(second, k)
+    p, p1, p2 = second / n, k / first, (second - k) / (n - first)
+    ratio = _llr(k, first, p, p1) + _llr(second - k, n - first, p, p2)
+    return ratio if p1 > p2 else -ratio
+
+
 def is_abbreviation(t: str, all_: int, dot: int, final: int, small: int, dots: int, finals: int, tokens: int) -> bool | None:
     """None: no abbreviation; else whether it may also end a sentence."""
     if dot < 1 or not rx(r"\p{L}").search(t) or (len(t.replace(".", "")) > 9):
@@ -323,6 +342,8 @@ class Splitter:
             return False
         if known is None:
             return not (word[0].islower() and len(t) <= 3 and not starter and not t.isdigit())
+        if not starter and (lang, t, word.lower()) in self.model.collocations:
+            return False
         return known and (word[0].isupper() or (starter and not word[0].islower()))
 
 
@@ -353,8 +374,9 @@ def statistics(documents: DataFrame, text: str = "text", lang: str = "lang") ->
 
 def learn(documents: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     """The model of all documents."""
-    wide = durable(statistics(documents, text, lang)).groupBy("lang", "word").pivot("kind", ["all", "dot", "final", "small", "start", "ordinal", "dots", "finals", "starts", "blocks"]).sum("n").na.fill(0)
-    totals = {r["lang"]: r for r in wide.groupBy("lang").agg(F.sum("all").alias("tokens"), F.max(F.when(F.col("word") == "", F.col("dots"))).alias("dots"), F.max(F.when(F.col("word") == "", F.col("finals"))).alias("finals"), F.max(F.when(F.col("word") == "", F.col("starts"))).alias("starts")).collect()}
+    counted = durable(statistics(documents, text, lang))
+    wide = counted.groupBy("lang", "word").pivot("kind", ["all", "dot", "final", "small", "start", "ordinal", "dots", "finals", "starts", "blocks"]).sum("n").na.fill(0)
+    totals = {r["lang"]: r for r in wide.groupBy("lang").agg(F.sum("all").alias("tokens"), F.sum("ordinal").alias("ordinals"), F.max(F.when(F.col("word") == "", F.col("dots"))).alias("dots"), F.max(F.when(F.col("word") == "", F.col("finals"))).alias("finals"), F.max(F.when(F.col("word") == "", F.col("starts"))).alias("starts")).collect()}
     # A starter follows sentence ends more often than chance; a type with a period is worth testing if it has one often.
     kept = wide.where("word <> '' AND ((dot > 0 AND dot >= 0.5 * greatest(`all` - dot, 0) AND length(word) <= 12) OR (start >= 3 AND start >= 0.15 * `all`) OR (ordinal >= 3 AND ordinal >= 0.2 * `all`))")
     rows = kept.limit(MAX_LEARNED + 1).collect()
@@ -370,8 +392,23 @@ def learn(documents: DataFrame, text: str = "text", lang: str = "lang") -> Model
         share = (total["starts"] or 0) / max(total["tokens"] or 1, 1)
         if r["start"] >= 3 and r["start"] > share * r["all"] and _llr(r["start"], max(r["all"], r["start"]), share, r["start"] / max(r["all"], r["start"])) > 30:
             model.starters.add((lg, w))
-        if r["ordinal"] >= 3 and r["ordinal"] >= 0.2 * r["all"]:
+        if r["ordinal"] >= 3 and r["ordinal"] >= 0.2 * r["all"] and collocation_ratio(r["ordinal"], total["ordinals"], r["all"], total["tokens"]) >= COLLOCATED:
             model.ordinals.add((lg, w))
+    # Words that follow an abbreviation that may end a sentence as well; the pairs of other types decide nothing.
+    open_ = [(lg, t) for (lg, t), ends in model.abbreviations.items() if ends]
+    if open_:
+        types = documents.sparkSession.createDataFrame(open_, "lang string, t string")
+        pairs = counted.where("kind = 'pair' AND n >= 3").select("lang", F.substring_index("word", " ", 1).alias("t"), F.substring_index("word", " ", -1).alias("next"), "n").join(F.broadcast(types), ["lang", "t"])
+        pairs = pairs.join(wide.select("lang", F.col("word").alias("t"), F.col("dot").alias("first")), ["lang", "t"]).join(wide.select("lang", F.col("word").alias("next"), F.col("all").alias("second"), "start"), ["lang", "next"])
+        found = pairs.limit(MAX_LEARNED + 1).collect()
+        if len(found) > MAX_LEARNED:
+            raise ValueError("too many pairs of abbreviations and words")
+        for r in found:
+            # It must follow the type more often than chance, and also more often than it follows the ends of sentences.
+            total, share = totals[r["lang"]], r["n"] / r["first"]
+            begins = r["start"] / max(total["starts"] or 1, 1)
+            if collocation_ratio(r["n"], r["first"], r["second"], total["tokens"] or 1) >= COLLOCATED and share > begins and _llr(r["n"], r["first"], begins, share) >= COLLOCATED:
+                model.collocations.add((r["lang"], r["t"], r["next"]))
     return model
 
 
