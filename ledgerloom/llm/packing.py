@@ -8,7 +8,8 @@ packing loses most. Lengths up to C/classes form the last class: it tops up what
 Defined results: a document of more than C tokens is split into full containers of its own and one remainder, which is
 packed like a document; nothing else is split. An empty or null text has length 0 and is packed like any short item.
 A shard holds about `per_shard` items, so its memory is bounded and its unfilled containers (at most one per class) are
-few against those it fills. Repeated documents are packed once. Ties go by the document's id.
+few against those it fills. Repeated documents are packed once. Ties go by the document's id. Containers of whole parts
+have numbers below zero, the others from zero on; no two containers share one.
 """
 
 from __future__ import annotations
@@ -16,9 +17,11 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.durable import durable
+
 
 def pack_shard(items: list[tuple[int, int, int]], capacity: int, classes: int) -> list[tuple[int, int, int, int]]:
     """(doc, part, size) to (doc, part, bin, offset); bins are numbered from 0, sizes are at most the capacity."""
@@ -53,13 +56,16 @@ def pack(sizes: DataFrame, capacity: int, key: str = "doc_id", size: str = "toke
     """(key, part, container BIGINT, start_at BIGINT, tokens BIGINT): where each document, or part of one, lies."""
     if capacity < 1 or classes < 1:
         raise ValueError("capacity and classes must be at least 1")
-    items = sizes.select(F.col(key).cast("bigint").alias("doc"), F.coalesce(F.col(size).cast("bigint"), F.lit(0)).alias("n")).groupBy("doc").agg(F.max("n").alias("n"))
+    # Sizes may cost far more than the packing (they are a tokenizer's): they are computed once, then counted and packed.
+    items = durable(sizes.select(F.col(key).cast("bigint").alias("doc"), F.coalesce(F.col(size).cast("bigint"), F.lit(0)).alias("n")).groupBy("doc").agg(F.max("n").alias("n")))
     shards = max(1, -(-items.count() // per_shard))
     full = F.when(F.col("n") > capacity, F.floor((F.col("n") - 1) / capacity)).otherwise(0).cast("bigint")
-    items = items.withColumn("full", full).withColumn("rest", F.col("n") - F.col("full") * capacity)
-    whole = items.where("full > 0").select("doc", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("full") - 1)).alias("part"))
-    whole = whole.select("doc", "part", F.abs(F.xxhash64("doc", "part")).alias("hash"))
-    small = items.select("doc", F.col("full").alias("part"), F.col("rest").alias("size"), F.pmod(F.xxhash64("doc"), F.lit(shards)).alias("shard"))
+    items = items.withColumn("full", full).withColumn("rest", F.col("n") - F.col("full") * capacity).withColumn("shard", F.pmod(F.xxhash64("doc"), F.lit(shards)))
+    small = items.select("doc", F.col("full").alias("part"), F.col("rest").alias("size"), "shard")
+    # Full containers hold one part each; a shard numbers its own one after the other.
+    before = F.sum("full").over(Window.partitionBy("shard").orderBy("doc")) - F.col("full")
+    whole = items.where("full > 0").withColumn("before", before).select("doc", "shard", "before", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("full") - 1)).alias("part"))
+    filled = whole.select("doc", "part", (-1 - ((F.col("before") + F.col("part")) * shards + F.col("shard"))).alias("container"), F.lit(0).cast("bigint").alias("start_at"), F.lit(capacity).cast("bigint").alias("tokens"))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         shard = int(rows["shard"].iloc[0])
@@ -68,8 +74,6 @@ def pack(sizes: DataFrame, capacity: int, key: str = "doc_id", size: str = "toke
         return pd.DataFrame([(d, p, b * shards + shard, at, sizes_of[d, p]) for d, p, b, at in placed], columns=["doc", "part", "container", "start_at", "tokens"]).astype("int64")
 
     packed = small.groupBy("shard").applyInPandas(run, "doc bigint, part bigint, container bigint, start_at bigint, tokens bigint")
-    # Full containers hold one part each; they are numbered below zero, by document and part.
-    filled = whole.select("doc", "part", (-(F.col("doc") * 1_000_000 + F.col("part")) - 1).alias("container"), F.lit(0).cast("bigint").alias("start_at"), F.lit(capacity).cast("bigint").alias("tokens"))
     return packed.unionByName(filled).withColumnRenamed("doc", key)
 
 

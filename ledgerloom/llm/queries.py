@@ -64,12 +64,17 @@ def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(sizes, CAPACITY)
 
 
+def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """How full the containers are: one row."""
+    return packing.fill_report(p8_containers(spark, folder), CAPACITY)
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return sentences.units(table(spark, folder, "documents", "doc_id", "text", "lang"))
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_places": p1_places, "p3_found": p3_found, "p3_text": p3_text, "p4_found": p4_found, "p4_text": p4_text, "p5_found": p5_found, "p5_entities": p5_entities, "p6_found": p6_found, "p6_fused": p6_fused, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found}
+    return {"p1_found": p1_found, "p1_places": p1_places, "p3_found": p3_found, "p3_text": p3_text, "p4_found": p4_found, "p4_text": p4_text, "p5_found": p5_found, "p5_entities": p5_entities, "p6_found": p6_found, "p6_fused": p6_fused, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found}
 
 
 _NO_VALUE = ", ".join(f"'{w}'" for w in (*survivor.PLACEHOLDERS, *survivor.FORM_WORDING))

@@ -71,3 +71,14 @@ def test_only_what_exceeds_the_capacity_is_split(spark):
         used[r.container] = used.get(r.container, 0) + r.tokens
     assert max(used.values()) <= 100
     assert packing.fill_report(packing.pack(sizes, 100), 100).first().tokens == 450
+
+
+def test_containers_of_whole_parts_have_numbers_of_their_own(spark):
+    from ledgerloom.llm import packing
+
+    sizes = spark.createDataFrame([(9_300_000_000_000, 50), (1, 30), (2, 35), (3, 0), (4, None), (2, 35)], "doc_id bigint, tokens bigint")
+    rows = packing.pack(sizes, 10, per_shard=2).collect()
+    whole = [r for r in rows if r.container < 0]
+    assert len({r.container for r in whole}) == len(whole) == 4 + 2 + 3
+    assert {r.doc_id: sum(x.tokens for x in rows if x.doc_id == r.doc_id) for r in rows} == {9_300_000_000_000: 50, 1: 30, 2: 35, 3: 0, 4: 0}
+    assert len({(r.doc_id, r.part) for r in rows}) == len(rows)
