@@ -14,6 +14,7 @@ left out of it, a line break is one space; repeated rows and repeated values giv
 from __future__ import annotations
 
 import random
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -45,6 +46,7 @@ GENERATORS = {
         r"(?:[ ]?,[ ]?(?:\p{Lu}[\p{L}\p{N}'-]*\.?(?=[ ]?,)|\p{Lu}[\p{L}\p{N}'-]*)(?:[ ](?:\p{Lu}[\p{L}\p{N}'-]*\.?(?=[ ]?,)|\p{Lu}[\p{L}\p{N}'-]*)){0,3}){1,7}(?:[ ]?[,-]?[ ]?(?:PIN[ ]?:?[ ]?)?\d{3}[ ]?\d{3}(?!\d))?"
     ),
 }
+_AT = re.compile(r"@|\[at\]|\(at\)|\{at\}", re.I)
 _NAME = re.compile(r"(?:\p{Lu}\.(?:\s?\p{Lu}\.)*|\p{Lu}[\p{L}'’-]+|\p{Lu}(?=\s\p{Lu}))")
 _WORDS = re.compile(r"[\p{L}\p{N}]+(?:[/'’-][\p{L}\p{N}-]+)*|[^\s\p{L}\p{N}]")
 
@@ -64,7 +66,14 @@ def name_spans(text: str, ordinary: frozenset[str]) -> Iterator[tuple[int, int]]
 
 
 def candidates(text: str, ordinary: frozenset[str] = frozenset()) -> Iterator[tuple[str, int, int]]:
-    for kind in ("email", "phone", "id_number", "address"):
+    end = 0
+    for anchor in _AT.finditer(text):  # an address lies within the paragraph of its sign
+        if anchor.start() >= end:
+            start, end = text.rfind("\n", 0, anchor.start()) + 1, text.find("\n", anchor.end())
+            end = end if end >= 0 else len(text)
+            for m in GENERATORS["email"].finditer(text, start, end):
+                yield "email", m.start(), m.end()
+    for kind in ("phone", "id_number", "address"):
         for m in GENERATORS[kind].finditer(text, overlapped=kind in ("phone",)):
             yield kind, m.start(), m.end()
     for a, b in name_spans(text, ordinary):
@@ -223,26 +232,56 @@ def span_model(seed: int = 3) -> tuple[Boosted, tuple[float, ...]]:
     return model, limits
 
 
-def flattened(lines: list[str], off: list[bool]) -> str:
+#: Where a flattened text comes from: (start in it, start in the original, length) of each line, in order.
+Pieces = list[tuple[int, int, int]]
+
+
+def flattened(lines: list[str], off: list[bool]) -> tuple[str, Pieces]:
     """The text without furniture: wrapped lines joined by one space, ends of paragraphs kept as breaks.
 
     A line ends a paragraph if it is followed by a blank one, or if the next line's first word would have fitted on it.
     """
-    body = [(t.strip(), o) for t, o in zip(lines, off)]
-    width = max((len(t) for t, o in body if not o), default=0)
-    out, last = "", ""
-    for t, o in body:
-        if o:
-            continue
-        if not t:
-            out = out.rstrip(" ") + ("\n" if out and not out.endswith("\n") else "")
-            continue
-        if out and not out.endswith("\n"):
-            fits = len(last) + 1 + len(t.split()[0]) <= width - 3 and not last.endswith(("-", "‐", "‑", "–", "¬", ","))
-            out += "\n" if fits else " "
-        out += t
-        last = t
-    return out
+    width = max((len(t.strip()) for t, o in zip(lines, off) if not o), default=0)
+    out: list[str] = []
+    pieces: Pieces = []
+    size = at = 0
+    last, end = "", "\n"  # the line before, and what stands last
+    for line, o in zip(lines, off):
+        t = line.strip()
+        if not o and not t and end != "\n":
+            out.append("\n")
+            size, end = size + 1, "\n"
+        elif not o and t:
+            if end != "\n":
+                fits = len(last) + 1 + len(t.split()[0]) <= width - 3 and not last.endswith(("-", "‐", "‑", "–", "¬", ","))
+                out.append("\n" if fits else " ")
+                size += 1
+            pieces.append((size, at + len(line) - len(line.lstrip()), len(t)))
+            out.append(t)
+            size, last, end = size + len(t), t, t[-1]
+        at += len(line) + 1
+    return "".join(out), pieces
+
+
+def replaced(text: str, pieces: Pieces, spans: list[tuple[str, int, int]]) -> str:
+    """The original text with a placeholder at the place of each span of its flattened form; all other signs stay.
+
+    Of a value over several lines the first part becomes the placeholder and the others go; what lies between the lines
+    (breaks, a page's furniture) stays.
+    """
+    starts = [p[0] for p in pieces]
+    cuts = []
+    for kind, a, b in spans:
+        first = True
+        for s, origin, n in pieces[max(0, bisect_right(starts, a) - 1) :]:
+            if s >= b:
+                break
+            if min(b, s + n) > max(a, s):
+                cuts.append((origin + max(a, s) - s, origin + min(b, s + n) - s, f"[{kind.upper()}]" if first else ""))
+                first = False
+    for a, b, put in sorted(cuts, reverse=True):
+        text = text[:a] + put + text[b:]
+    return text
 
 
 def _is_organisation(text: str, a: int, b: int) -> bool:
@@ -291,15 +330,13 @@ def _scan(scans: DataFrame, output: str, schema: str) -> DataFrame:
             for at in range(0, len(f), 200):
                 out = []
                 part = f.iloc[at : at + 200]
-                lines = [t.replace("\r\n", "\n").split("\n") for t in part["text"]]
+                lines = [t.split("\n") for t in part["text"]]
                 flats = [flattened(x, off) for x, off in zip(lines, furniture_of(lines, pages))]
-                for scan, flat, spans in zip(part["scan_id"], flats, spans_of(flats, model, limits, ordinary)):
+                for scan, text, (flat, pieces), spans in zip(part["scan_id"], part["text"], flats, spans_of([f for f, _ in flats], model, limits, ordinary)):
                     if output == "spans":
                         out += [(scan, k, rx(r"\s*\n\s*").sub(" ", flat[a:b])) for k, a, b in spans]
                     else:
-                        for k, a, b in reversed(spans):
-                            flat = flat[:a] + f"[{k.upper()}]" + flat[b:]
-                        out.append((scan, flat))
+                        out.append((scan, replaced(text, pieces, spans)))
                 yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
 
     return texts.mapInPandas(run, schema)
@@ -311,5 +348,5 @@ def personal(scans: DataFrame) -> DataFrame:
 
 
 def redacted(scans: DataFrame) -> DataFrame:
-    """(scan_id, text): the text with [EMAIL], [PHONE], [ID_NUMBER], [ADDRESS] and [PERSON] in place of the values."""
+    """(scan_id, text): the text with [EMAIL], [PHONE], [ID_NUMBER], [ADDRESS] and [PERSON] in place of the values, else unchanged."""
     return _scan(scans, "text", "scan_id bigint, text string")

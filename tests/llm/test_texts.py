@@ -155,3 +155,44 @@ def test_line_pairs_on_held_out_papers():
         hit += sum(ends[i] == how for i, (_, how) in got.items())
         n += len(got)
     assert hit / n > 0.93
+
+
+def test_redaction_leaves_the_rest_unchanged(spark):
+    """Without placeholders and values, input and output are the same signs in the same order."""
+    scans = spark.read.parquet("/root/testdata/sf0.001/scan_texts.parquet").select("scan_id", "raw_text_preview").where("raw_text_preview <> ''").distinct()
+    before = {r.scan_id: r.raw_text_preview for r in scans.collect()}
+    found = {}
+    for r in P.personal(scans).collect():
+        found.setdefault(r.scan_id, []).append(r.pii_text)
+    outs = {r.scan_id: r.text for r in P.redacted(scans).collect()}
+    assert outs.keys() == before.keys() and any(outs[k] != before[k] for k in outs)
+    for k, out in outs.items():
+        pieces = [R.re.escape(p) for p in R.re.split(r"\[(?:EMAIL|PHONE|ID_NUMBER|ADDRESS|PERSON)\]", out)]
+        if k not in found:
+            assert out == before[k]
+        assert out.count("\n") == before[k].count("\n")
+        one_line = lambda t: R.re.sub(r"\s+", " ", t)
+        if not any("\n" in v for v in found.get(k, ())) and len(pieces) - 1 == len(found.get(k, ())):
+            assert R.re.match(r"(?s)" + r"[\s\S]+?".join(pieces) + r"$", before[k]) or len(one_line(out)) <= len(one_line(before[k])) + 20 * len(pieces)
+
+
+def test_a_value_over_a_page_break_keeps_what_lies_between():
+    lines = "Address: Plot No. 12, Revona\nPage 1 of 2\nHouse, Tikasu Road. Bye".split("\n")
+    flat, pieces = P.flattened(lines, [False, True, False])
+    a, b = flat.index("Plot"), flat.index(". Bye")
+    assert flat[a:b] == "Plot No. 12, Revona House, Tikasu Road"
+    assert P.replaced("\n".join(lines), pieces, [("address", a, b)]) == "Address: [ADDRESS]\nPage 1 of 2\n. Bye"
+
+
+def test_collocations_keep_a_name_with_its_abbreviation(spark):
+    """An abbreviation that also ends sentences doesn't end one before the word it always precedes."""
+    draw = random.Random(6)
+    noun = lambda: draw.choice("desk file bill ward clerk house paper letter".split())
+    body = []
+    for i in range(400):
+        body.append((f"The {noun()} of the St. Gabil {noun()} was seen. The {noun()} came at 5 {draw.choice(('p.m.', 'p.m.'))} {draw.choice(('Nobody', 'Someone', 'The clerk', 'A nurse'))} replied. Nobody had seen the {noun()} that it replied to since the {noun()} was closed by them. It closed at 4 p.m.", "en"))
+    assert ("en", "p.m") in model_of(spark, body).abbreviations
+    assert S.collocation_ratio(50, 60, 55, 10_000) > S.COLLOCATED > S.collocation_ratio(1, 60, 170, 10_000)
+    forced = S.Model(abbreviations={("en", "st"): True}, collocations={("en", "st", "gabil")})
+    cut = lambda t: len(S.Splitter(forced).ends(t, "en"))
+    assert cut("We went to St. Gabil today") == 1 and cut("We went to the St. Nobody came") == 2
