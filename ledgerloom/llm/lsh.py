@@ -61,7 +61,8 @@ def links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], hot: int
     stand for another. A bucket of more than `hot` members is dealt into blocks of about that many, and each pair of
     blocks is a task's key of its own. rounds is without effect.
     """
-    members = members.select("bucket", "id").distinct()
+    # One exchange by bucket serves the counts and the join; most buckets hold one member and go before anything else.
+    members = members.select("bucket", "id").repartition("bucket")
     # A bucket with the very same members as another adds nothing; most buckets of clear duplicates repeat.
     sized = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("sum"), F.min("id").alias("first")).where("n > 1")
     kept = sized.groupBy("n", "sum", "first").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
