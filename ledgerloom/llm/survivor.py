@@ -130,36 +130,37 @@ def survivors(extractions: DataFrame, methods: DataFrame) -> DataFrame:
 MAX_SOURCES = 500
 
 
-def fused(extractions: DataFrame, rounds: int = 3, wrong: int = 10, copying: float = 0.8) -> DataFrame:
-    """(claim_no, field_name, value, posterior): the canonical value of the greatest posterior (ties: the lesser value).
+def fused(extractions: DataFrame, rounds: int = 4, wrong: int = 10, prior: float = 0.2) -> DataFrame:
+    """(claim_no, field_name, rec_id, value, posterior): the canonical value of the greatest posterior (ties: by a hash of it).
 
-    wrong is the number of false values assumed for a field, copying the chance that a copier copies a value.
+    rec_id is the record that gives the value: the latest of those that have it, then the largest rec_id. wrong is the number of false values assumed for a field, prior the chance that two sources depend on each other. How
+    much of its values a copier copies is estimated for each pair of sources.
     """
     votes = durable(
         _values(extractions)
-        .select("claim_no", F.coalesce("method", F.lit("unnamed")).alias("source"), F.explode("cells").alias("c"))
-        .select("claim_no", F.col("c.field").alias("field_name"), F.col("c.value").alias("value"), "source")
-        .distinct()
+        .select("claim_no", F.coalesce("method", F.lit("unnamed")).alias("source"), F.struct("extracted_at", "rec_id").alias("record"), F.explode("cells").alias("c"))
+        .groupBy("claim_no", F.col("c.field").alias("field_name"), F.col("c.value").alias("value"), "source")
+        .agg(F.max("record").alias("record"))
     )
-    grouped = votes.groupBy("claim_no", "field_name", "value").agg(F.array_sort(F.collect_set("source")).alias("sources"))
+    grouped = votes.groupBy("claim_no", "field_name", "value").agg(F.array_sort(F.collect_set("source")).alias("sources"), F.max("record")["rec_id"].alias("rec_id"))
     sources = [r[0] for r in votes.select("source").distinct().orderBy("source").limit(MAX_SOURCES + 1).collect()]
     if len(sources) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     accuracy = dict.fromkeys(sources, 0.8)
     copies: dict[tuple[str, str], float] = {}
-    result = None
-    for turn in range(rounds):
-        result = _posterior(grouped, sources, accuracy, copies, wrong, copying)
-        if turn + 1 < rounds:
-            result = durable(result)
-            right = {r["source"]: r["a"] for r in result.select(F.explode("sources").alias("source"), "posterior").groupBy("source").agg(F.avg("posterior").alias("a")).collect()}
-            accuracy = {s: min(0.99, max(0.05, right.get(s, 0.8))) for s in sources}
-            copies = _dependence(result, accuracy, wrong, copying)
-    best = result.groupBy("claim_no", "field_name").agg(F.max_by(F.struct("value", "posterior"), F.struct("posterior", F.hash("value"))).alias("b"))
-    return best.select("claim_no", "field_name", "b.value", F.round("b.posterior", 6).alias("posterior"))
-
-
-def _posterior(grouped: DataFrame, sources: list[str], accuracy: dict[str, float], copies: dict[tuple[str, str], float], wrong: int, copying: float) -> DataFrame:
+    result = _posterior(grouped, sources, accuracy, copies, wrong)
+    for _ in range(rounds):
+        # Dependence first: votes that were only copied must not make their sources look accurate.
+        copies = _dependence(durable(result), accuracy, wrong, prior)
+        result = durable(_posterior(grouped, sources, accuracy, copies, wrong))
+        right = {r["source"]: r["a"] for r in result.select(F.explode("sources").alias("source"), "posterior").groupBy("source").agg(F.avg("posterior").alias("a")).collect()}
+        accuracy = {s: min(0.99, max(0.05, right.get(s, 0.8))) for s in sources}
+        result = _posterior(grouped, sources, accuracy, copies, wrong)
+    best = result.groupBy("claim_no", "field_name").agg(F.max_by(F.struct("rec_id", "value", "posterior"), F.struct("posterior", F.hash("value"))).alias("b"))
+    return best.select("claim_no", "field_name", "b.rec_id", "b.value", F.round("b.posterior", 6).alias("posterior"))
+
+
+def _posterior(grouped: DataFrame, sources: list[str], accuracy: dict[str, float], copies: dict[tuple[str, str], float], wrong: int) -> DataFrame:
     """Adds score and posterior to each value; a source's vote is discounted by the more accurate ones it may copy."""
     score = F.lit(0.0)
     ranked = sorted(sources, key=lambda s: (-accuracy[s], s))
@@ -168,16 +169,19 @@ def _posterior(grouped: DataFrame, sources: list[str], accuracy: dict[str, float
         for other in ranked[:i]:
             p = copies.get((min(s, other), max(s, other)), 0.0)
             if p > 0.01:
-                independent = independent * F.when(F.array_contains("sources", other), 1.0 - copying * p).otherwise(1.0)
+                independent = independent * F.when(F.array_contains("sources", other), 1.0 - p).otherwise(1.0)
         vote = math.log(wrong * accuracy[s] / (1 - accuracy[s]))
         score = score + F.when(F.array_contains("sources", s), independent * vote).otherwise(0.0)
-    scored = grouped.select("claim_no", "field_name", "value", "sources", score.alias("score"))
+    scored = grouped.select("claim_no", "field_name", "value", "sources", "rec_id", score.alias("score"))
     total = scored.groupBy("claim_no", "field_name").agg(F.sum(F.exp("score")).alias("total"), F.count(F.lit(1)).alias("values"))
-    return scored.join(total, ["claim_no", "field_name"]).select("claim_no", "field_name", "value", "sources", (F.exp("score") / (F.col("total") + F.greatest(F.lit(0), wrong + 1 - F.col("values")))).alias("posterior"))
+    return scored.join(total, ["claim_no", "field_name"]).select("claim_no", "field_name", "value", "sources", "rec_id", (F.exp("score") / (F.col("total") + F.greatest(F.lit(0), wrong + 1 - F.col("values")))).alias("posterior"))
 
 
-def _dependence(values: DataFrame, accuracy: dict[str, float], wrong: int, copying: float) -> dict[tuple[str, str], float]:
-    """The posterior chance that one source of a pair copies the other, from shared true, shared false and differing values."""
+def _dependence(values: DataFrame, accuracy: dict[str, float], wrong: int, prior: float) -> dict[tuple[str, str], float]:
+    """The share of its values that one source of a pair copies from the other, times the posterior chance that it copies at all.
+
+    Told from shared true, shared false and differing values; the share is the likeliest in steps of a twentieth.
+    """
     pairs = F.flatten(F.transform("sources", lambda a: F.transform(F.filter("sources", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
     same = values.select(F.explode(pairs).alias("p"), "posterior").groupBy("p.a", "p.b").agg(F.sum("posterior").alias("true"), F.sum(1 - F.col("posterior")).alias("false"))
     by_field = values.groupBy("claim_no", "field_name").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"))
@@ -194,6 +198,8 @@ def _dependence(values: DataFrame, accuracy: dict[str, float], wrong: int, copyi
         d = max(1e-9, 1 - t - f)
         mean = (pa + pb) / 2
         lone = true * math.log(t) + false * math.log(f) + differ * math.log(d)
-        tied = true * math.log(mean * copying + t * (1 - copying)) + false * math.log((1 - mean) * copying + f * (1 - copying)) + differ * math.log(d * (1 - copying))
-        found[(a, b)] = 1 / (1 + math.exp(min(700.0, max(-700.0, lone - tied))))
+        tied = lambda c: true * math.log(mean * c + t * (1 - c)) + false * math.log((1 - mean) * c + f * (1 - c)) + differ * math.log(d * (1 - c))  # noqa: B023, E731
+        share = max((i / 20 for i in range(1, 20)), key=tied)
+        odds = lone - tied(share) + math.log((1 - prior) / prior)
+        found[(a, b)] = share / (1 + math.exp(min(700.0, max(-700.0, odds))))
     return found
