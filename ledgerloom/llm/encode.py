@@ -12,11 +12,13 @@ from __future__ import annotations
 
 import base64
 import heapq
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -112,8 +114,15 @@ class Encoder:
 
 @lru_cache(2)
 def encoder(vocabulary: str) -> Encoder:
-    """One encoder per Python worker."""
-    return Encoder(vocabulary)
+    """One encoder per Python worker, from the copy that was sent to its node, else from the path itself."""
+    sent = SparkFiles.get(os.path.basename(vocabulary))
+    return Encoder(sent if os.path.exists(sent) else vocabulary)
+
+
+def _sent(documents: DataFrame, vocabulary: str) -> str:
+    """Sends the vocabulary file to all nodes, so that only the driver needs it at its path."""
+    documents.sparkSession.sparkContext.addFile(vocabulary)
+    return vocabulary
 
 
 def _once(documents: DataFrame, key: str, text: str) -> DataFrame:
@@ -124,9 +133,10 @@ def _once(documents: DataFrame, key: str, text: str) -> DataFrame:
 def token_ids(documents: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """(key, ids ARRAY<INT>): the token ids of every text, one row per key."""
     kind = documents.schema[key].dataType.simpleString()
+    path = _sent(documents, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary).encode
+        encode = encoder(path).encode
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -138,9 +148,10 @@ def token_ids(documents: DataFrame, key: str = "doc_id", text: str = "text", voc
 def token_counts(documents: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """(key, tokens BIGINT): the number of tokens of every text; ids never leave the workers."""
     kind = documents.schema[key].dataType.simpleString()
+    path = _sent(documents, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = encoder(vocabulary).count
+        count = encoder(path).count
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([count(x.as_py()) for x in batch.column(1)], pa.int64())], names=[key, "tokens"])
 
