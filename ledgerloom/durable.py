@@ -27,8 +27,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def durable(frame: DataFrame) -> DataFrame:
     """The same rows, written once as a table in the shared checkpoint folder and read back.
 
-    Parquet rather than checkpoint(): it is compressed, and later reads prune its columns. The table is removed when
-    the driver's Python ends.
+    Parquet rather than checkpoint(): it is compressed, and later reads prune its columns. The table is removed by
+    release(), or when the driver's Python ends.
     """
     spark = frame.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/t-{uuid.uuid4().hex}"
@@ -37,12 +37,23 @@ def durable(frame: DataFrame) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+_written: list[str] = []
+
+
 def released(spark: SparkSession, path: str) -> str:
-    """The path, which is removed when the driver's Python ends."""
-    atexit.register(_drop, spark, path)
+    """The path, which is removed by release() or when the driver's Python ends."""
+    if not _written:
+        atexit.register(release, spark)
+    _written.append(path)
     return path
 
 
+def release(spark: SparkSession) -> None:
+    """Removes all tables written so far. For long applications, once the results that read them are stored."""
+    while _written:
+        _drop(spark, _written.pop())
+
+
 def _drop(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
