@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.quantiles import exact_quantiles
 from ledgerloom.plans.book import AUDIT_SQL, CLAIMS_SQL, CODES_SQL, ITEMS_SQL, Book
 from ledgerloom.plans.filters import claims
 from ledgerloom.plans.metrics import audit, items
@@ -125,16 +126,7 @@ def _g27(s, d):
     )
 
 
-@book.add("g28_exact_median", f"WITH {ITEMS_SQL} SELECT category, quantile_disc(amount, 0.5) AS middle FROM items WHERE category IS NOT NULL AND amount IS NOT NULL GROUP BY 1")
+@book.add("g28_exact_quartiles", "SELECT o_orderpriority, round(quantile_cont(o_totalprice, 0.25), 4) AS low, round(quantile_cont(o_totalprice, 0.5), 4) AS middle, round(quantile_cont(o_totalprice, 0.75), 4) AS high FROM orders GROUP BY 1")
 def _g28(s, d):
-    """Exact medians of a few large groups in two passes: counts by cell of a thousand find the cell, ranks within it the value.
-
-    No group is gathered: the first pass combines before its shuffle, the second sorts one cell of a group only.
-    """
-    i = items(s, d, keep="category IS NOT NULL AND amount IS NOT NULL").select("category", "amount").withColumn("cell", F.floor(F.col("amount") / 1000))
-    cells = i.groupBy("category", "cell").agg(F.count(F.lit(1)).alias("n"))
-    up_to = F.sum("n").over(Window.partitionBy("category").orderBy("cell"))
-    total = F.sum("n").over(Window.partitionBy("category"))
-    place = cells.withColumns({"up_to": up_to, "total": total}).withColumn("rank", F.ceil(F.col("total") / 2)).where("up_to >= rank AND up_to - n < rank").select("category", "cell", (F.col("rank") - F.col("up_to") + F.col("n")).alias("k"))
-    inner = i.join(F.broadcast(place), ["category", "cell"]).withColumn("r", F.row_number().over(Window.partitionBy("category", "cell").orderBy("amount")))
-    return inner.where("r = k").select("category", F.col("amount").alias("middle"))
+    q = exact_quantiles(table(s, d, "orders", "o_orderpriority", "o_totalprice"), "o_orderpriority", "o_totalprice", {"low": 0.25, "middle": 0.5, "high": 0.75})
+    return q.select("o_orderpriority", *[F.round(c, 4).alias(c) for c in ("low", "middle", "high")])

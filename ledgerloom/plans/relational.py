@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.quantiles import exact_quantiles
 from ledgerloom.plans.book import AUDIT_SQL, CLAIMS_SQL, ITEMS_SQL, Book
 from ledgerloom.plans.filters import claims
 from ledgerloom.plans.metrics import audit, items
@@ -40,8 +41,9 @@ def _g04(s, d):
 @book.add("g05_semi_and_anti", "SELECT c_custkey, true AS has_urgent FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') UNION ALL SELECT c_custkey, false FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def _g05(s, d):
     c = table(s, d, "customer", "c_custkey")
-    u = table(s, d, "orders", "o_custkey", "o_orderpriority").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey")).distinct()
-    return c.join(u.withColumn("has", F.lit(True)), "c_custkey", "left").select("c_custkey", F.coalesce("has", F.lit(False)).alias("has_urgent"))
+    u = table(s, d, "orders", "o_custkey", "o_orderpriority").where("o_orderpriority = '1-URGENT'")
+    met = F.col("c_custkey") == F.col("o_custkey")
+    return c.join(u, met, "left_semi").withColumn("has_urgent", F.lit(True)).unionByName(c.join(u, met, "left_anti").withColumn("has_urgent", F.lit(False)))
 
 
 @book.add("g06_set_operations", "SELECT 'both' AS side, count(*)::BIGINT AS n FROM (SELECT c_nationkey FROM customer INTERSECT SELECT s_nationkey FROM supplier) UNION ALL SELECT 'customers only', count(*)::BIGINT FROM (SELECT c_nationkey FROM customer EXCEPT SELECT s_nationkey FROM supplier)")
@@ -59,7 +61,8 @@ def _g07(s, d):
 
 @book.add("g08_median_by_category", f"WITH {ITEMS_SQL} SELECT category, round(median(amount), 4) AS middle, round(quantile_cont(amount, 0.9), 4) AS p90 FROM items WHERE category IS NOT NULL GROUP BY 1")
 def _g08(s, d):
-    return items(s, d, keep="category IS NOT NULL").groupBy("category").agg(F.round(F.median("amount"), 4).alias("middle"), F.round(F.percentile("amount", F.lit(0.9)), 4).alias("p90"))
+    q = exact_quantiles(items(s, d, keep="category IS NOT NULL"), "category", "amount", {"middle": 0.5, "p90": 0.9})
+    return q.select("category", F.round("middle", 4).alias("middle"), F.round("p90", 4).alias("p90"))
 
 
 @book.add("g09_approximate_distinct")

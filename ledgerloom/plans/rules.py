@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.quantiles import exact_quantiles
 from ledgerloom.plans.book import CLAIMS_SQL, CODES_SQL, ITEMS_SQL, Book
 from ledgerloom.plans.extraction import codes
 from ledgerloom.plans.filters import claims
@@ -228,8 +229,8 @@ def _r031(s, d):
 @book.add("r034_upcoding", f"WITH {ITEMS_SQL}, p AS (SELECT category, median(amount) AS mid FROM items WHERE amount > 0 GROUP BY 1) SELECT claim_id, pos, round(amount / mid, 4) AS ratio FROM items JOIN p USING (category) WHERE amount > 0 AND round(amount / mid, 6) > 8")
 def _r034(s, d):
     i = items(s, d, keep="amount > 0")
-    p = i.groupBy("category").agg(F.median("amount").alias("mid"))
-    return i.join(p, "category").where("round(amount / mid, 6) > 8").select("claim_id", "pos", F.round(F.col("amount") / F.col("mid"), 4).alias("ratio"))
+    p = exact_quantiles(i, "category", "amount", {"mid": 0.5})
+    return i.join(F.broadcast(p), "category").where("round(amount / mid, 6) > 8").select("claim_id", "pos", F.round(F.col("amount") / F.col("mid"), 4).alias("ratio"))
 
 
 @book.add("r06_reconciliation", f"WITH {CLAIMS_SQL}, {ITEMS_SQL}, f AS (SELECT claim_id, sum(amount) AS pharmacy FROM items WHERE category = 'Pharmacy' AND amount > 0 GROUP BY 1) SELECT claim_id, round(pharmacy, 2) AS pharmacy, coalesce(hospital_bill_total > 0 AND round(pharmacy, 2) > round(0.3 * hospital_bill_total, 2), false) AS flagged FROM claims JOIN f USING (claim_id)")

@@ -33,3 +33,18 @@ def test_policy_number_and_masks(spark):
 def test_similarity_ignores_word_order(spark):
     frame = spark.createDataFrame([("eye hospital", "hospital eye"), ("a", "b")], "a string, b string")
     assert [r[0] for r in frame.select(T.similarity(F.col("a"), F.col("b"))).collect()] == [1.0, 0.0]
+
+
+def test_quantiles_equal_those_of_gathered_groups(spark):
+    import numpy as np
+
+    from ledgerloom.operators.quantiles import exact_quantiles
+
+    draw = np.random.default_rng(5)
+    groups = {"a": draw.normal(0, 5000, 501).tolist(), "b": [7.0], "c": [1.0, 1.0, 1.0, 2.0], "d": [-1000.0, 1000.0]}
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("b", None), (None, 3.0)]
+    got = exact_quantiles(spark.createDataFrame(rows, "g string, v double"), "g", "v", {"m": 0.5, "p90": 0.9, "max": 1.0}).collect()
+    assert {r.g for r in got} == set(groups)
+    for r in got:
+        assert np.allclose([r.m, r.p90, r.max], np.quantile(groups[r.g], [0.5, 0.9, 1.0]))
+    assert exact_quantiles(spark.createDataFrame([], "g string, v double"), "g", "v", {"m": 0.5}).collect() == []
