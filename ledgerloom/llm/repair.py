@@ -98,6 +98,7 @@ _LETTERS = re.compile(r"\p{L}+")
 _MONEY = re.compile(r"(?:\brs\b|₹|\binr\b|\d[.,]\d\d)", re.I)
 _CONTACT = re.compile(r"@|[:]|\bsd/-", re.I)
 _PAGED = re.compile(r"\s{2,}\d{1,3}$")
+_FIGURES = re.compile(r"\D+")
 
 
 def line_features(lines: list[str]) -> np.ndarray:
@@ -114,7 +115,9 @@ def line_features(lines: list[str]) -> np.ndarray:
     filled = [i for i, x in enumerate(clean) if x]
     widths = sorted(len(x) for x in clean if x)
     usual = widths[(len(widths) * 3) // 4] if widths else 1
-    out = np.zeros((len(lines), 16))
+    figures = [_FIGURES.sub("", _PAGED.sub("", x)) for x in clean]
+    recurs = Counter(g for g in figures if len(g) >= 4)
+    out = np.zeros((len(lines), 23))
     for k, i in enumerate(filled):
         x = clean[i]
         before = clean[filled[k - 1]] if k else ""
@@ -137,6 +140,13 @@ def line_features(lines: list[str]) -> np.ndarray:
             _CONTACT.search(x) is not None,
             len(words),
             _PAGED.search(x) is not None,
+            i > 0 and not clean[i - 1],
+            i + 1 < len(clean) and not clean[i + 1],
+            len(before) / usual,
+            before[-1:] in ".!?",
+            x.count(","),
+            len(figures[i]),
+            recurs[figures[i]] - 1 if len(figures[i]) >= 4 else 0,
         )
     return out
 
@@ -157,9 +167,10 @@ def generated_paper(seed: int, pages: int) -> tuple[list[str], list[int], list[s
     style = draw.randrange(9)
     number = lambda n: (f"Page {n} of {pages}", f"- {n} -", str(n), f"Pg. {n}", f"Page No: {n:02d}", f"{n}/{pages}", f"[{n}]", f"Page{n} of{pages}", f"Page {n}")[style]
     serial = draw.randrange(10**5, 10**6)
-    head = (f"{name()} {head_word()} | {head_word()} {head_word()} {head_word()}", f"{name()} {head_word()} - {head_word()} {head_word()} Part {draw.choice('ABCDE')}", f"{name()} {head_word()}, {name()}pur", f"{head_word()} {head_word()} continued", f"{head_word()} {head_word()} no. {serial}", f"{head_word().upper()}  {head_word()} {draw.choice('ABCDEFG')}{draw.choice('KLMN')}{serial}", f"{name()} {head_word()} and {head_word()}", f"{name()} {head_word()} {head_word()} and {head_word()} - {head_word()} {head_word()} Part {draw.choice('ABCDE')}")[draw.randrange(8)]
+    head = (f"{name()} {head_word()} | {head_word()} {head_word()} {head_word()}", f"{name()} {head_word()} - {head_word()} {head_word()} Part {draw.choice('ABCDE')}", f"{name()} {head_word()}, {name()}pur", f"{head_word()} {head_word()} continued", f"{head_word()} {head_word()} no. {serial}", f"{head_word().upper()}  {head_word()} {draw.choice('ABCDEFG')}{draw.choice('KLMN')}{serial}", f"{name()} {head_word()} and {head_word()}", f"{name()} {head_word()} {head_word()} and {head_word()} - {head_word()} {head_word()} Part {draw.choice('ABCDE')}", f"{head_word()} {head_word()} {head_word()}   {draw.choice('KLMN')}{draw.choice('KLMN')}/{serial}/24", f"{head_word().upper()}  {head_word()} {draw.choice('KLMN')}{draw.choice('KLMN')}000{serial}")[draw.randrange(10)]
     if draw.random() < 0.3:
         head = head.upper()
+    labels = [head_word() for _ in range(3)]
     phrases = [[draw.choice(_FILL) for _ in range(draw.randrange(3, 9))] for _ in range(6)]
     lines: list[str] = []
     mark: list[int] = []
@@ -190,13 +201,16 @@ def generated_paper(seed: int, pages: int) -> tuple[list[str], list[int], list[s
         words = [draw.choice(_FILL) for _ in range(draw.randrange(5, 18))]
         for i in range(len(words)):
             if draw.random() < 0.12:
-                words[i] = draw.choice((name(), f"{name()} {name()}", str(draw.randrange(2000)), f"Rs. {draw.randrange(10**5)}", f"{draw.randrange(1, 29)}-{draw.randrange(1, 12)}-20{draw.randrange(10, 26)}", "twenty-one", "well-kept", "re-read", f"{draw.randrange(1, 29)} {draw.choice(('March', 'June', 'August'))} 20{draw.randrange(10, 26)}", f"{name()} Street, {name()}, {name()}pur-{draw.randrange(10**5, 10**6)}"))
+                words[i] = draw.choice((name(), f"{name()} {name()}", str(draw.randrange(2000)), f"Rs. {draw.randrange(10**5)}", f"{draw.randrange(1, 29)}-{draw.randrange(1, 12)}-20{draw.randrange(10, 26)}", "twenty-one", "well-kept", "re-read", f"{draw.randrange(1, 29)} {draw.choice(('March', 'June', 'August'))} 20{draw.randrange(10, 26)}", f"{name()} Street, {name()}, {name()}pur-{draw.randrange(10**5, 10**6)}", f"{name().upper()} LANE, {name().upper()} {draw.randrange(10**5, 10**6)}"))
         if draw.random() < 0.4:  # set phrases recur in the body as well
             words[: len(words) // 2] = draw.choice(phrases)
         words[0] = words[0][:1].upper() + words[0][1:]
         return " ".join(words) + draw.choice("......!?;:")
 
     def form() -> str:
+        if draw.random() < 0.4:  # one label recurs with other figures, which makes no header of it
+            figures = draw.choice((f"{draw.randrange(10**9, 10**10)}", f"{draw.randrange(1000, 9999)} {draw.randrange(1000, 9999)} {draw.randrange(1000, 9999)}", f"+{draw.randrange(10, 99)} {draw.randrange(10**9, 10**10)} / {draw.randrange(10**9, 10**10)}", f"{draw.choice('KLMNXZ')} {draw.randrange(10**6, 10**7)}"))
+            return draw.choice(labels) + draw.choice((": ", " ", " no. ")) + figures
         return draw.choice((f"{head_word()} {draw.choice(_FILL)} : Rs. {draw.randrange(10**4, 10**6)}", f"{head_word()} {head_word()}   INR {draw.randrange(10**4)}.00", f"{head_word()}: {name().lower()}@site.example", f"{name().upper()[:3]} {draw.randrange(1000, 9999)} {draw.randrange(1000, 9999)} 1234", f"{head_word()}: {name()} {name()}", f"Sd/- {name()} {name()}", f"{head_word()}: {draw.randrange(10**9, 10**10)}", f"{name()} {name()}, {draw.randrange(90)} {name()} Road", f"{head_word()} {head_word()} .... Rs.{draw.randrange(10**5)}"))
 
     n = 1
@@ -206,6 +220,8 @@ def generated_paper(seed: int, pages: int) -> tuple[list[str], list[int], list[s
             todo = [(form(), "b") for _ in range(draw.choice((1, 1, 2, 3)))]
         else:
             text = " ".join(sentence() for _ in range(draw.randrange(1, 7)))
+            if draw.random() < 0.15:  # values in capitals stand anywhere
+                text += f" {name().upper()} {name().upper()}" + draw.choice((".", f", {name().upper()} {draw.choice(('ROAD', 'LANE', 'STREET'))}, {name().upper()}PUR-{draw.randrange(10**5, 10**6)}.", f" {name().upper()}@SITE.EXAMPLE."))
             todo = []
             while len(text) > width:
                 cut = text.rfind(" ", 0, width + 1 if draw.random() < 0.92 else draw.randrange(8, width))  # some lines end early
