@@ -306,3 +306,110 @@ def _i06(s, d):
     u = extractions(s, d).select("rec_id", F.inline(cells)).where("v IS NOT NULL")
     routed = F.when(F.col("field") == "dob", F.regexp_replace(F.trim("v"), "[./\\s,-]+", "-")).when(F.col("field") == "policy_number", T.policy_number(F.col("v"))).otherwise(T.squeeze(F.col("v")))
     return u.select("rec_id", "field", routed.alias("routed"))
+
+
+# --- scores of misreading ------------------------------------------------------------------------------------------
+
+#: Words in capitals that are no nonsense, short words that are words, and acronyms of three letters.
+CAPITALS = "HOSPITAL MEDICAL PATIENT HEALTH INSURANCE CLAIM DOCTOR MEDICINE SURGERY TOTAL AMOUNT INDIA DELHI MUMBAI KOLKATA CHENNAI BANGALORE BLOOD URINE LIPID KIDNEY LIVER HEART HDFC ICICI AXIS STATE UNION CENTRAL STAIN ACCOUNT DETAILS BRANCH AADHAAR".split()
+SHORT_WORDS = "the and for are but not you all can had her was one our out day get has him his how its may new now old see way who boy did own say she too use room bed icu ward dr mr mrs ms no rs per qty amt date name age sex dob mob tel".split()
+ACRONYMS = "ICU OPD IPD MRI ECG EKG HIV BMI DNA RNA TPA MLC DOB DOA DOD GST PAN PIN UPI EMI ENT OT MRD BPL APL SSC HSC PDF RAG THE AND FOR ARE NOT BUT YOU ALL".split()
+
+
+def gibberish_score(t):
+    """The sum of ten checks of a text; 2 and more is gibberish. Null for null and for less than three signs."""
+    found = lambda p: F.regexp_extract_all(t, F.lit(p), F.lit(0))
+    count = lambda a, keep: F.size(F.filter(a, keep))
+    points = lambda *cases: _first_of(cases)
+    letters, vowels = F.length(F.regexp_replace(t, "[^A-Za-z]", "")), F.length(F.regexp_replace(t, "[^AEIOUaeiou]", ""))
+    words = F.filter(F.transform(F.split(T.squeeze(t), " "), lambda w: F.regexp_replace(w, "^[.,!?;:()\\[\\]{}]+|[.,!?;:()\\[\\]{}]+$", "")), lambda w: F.length(w) >= 4)
+    invalid = count(words, lambda w: ~valid_word(w))
+    capitals = count(found("\\b[A-Z]{5,}\\b"), lambda w: ~w.isin(*CAPITALS) & (w.rlike("[BCDFGHJKLMNPQRSTVWXYZ]{3,}") | w.rlike("AA|EE|II|OO|UU|I[AI]I|AI[AI]") | (F.length(w) > 7)))
+    small = found("\\b[a-z]{2,4}\\b")
+    three = count(found("\\b[A-Z]{3}\\b"), lambda w: ~w.isin(*ACRONYMS))
+    mixed = F.size(found("\\b\\w*[a-z][A-Z]\\w*\\b"))
+    total = (
+        points((t.rlike("(?i)[bcdfghjklmnpqrstvwxyz]{4,}"), 1.5))
+        + points((mixed >= 2, 2.5), (mixed == 1, 1.5))
+        + points((t.rlike("\\b[A-Za-z]+[0-9][A-Za-z]*\\b|\\b[A-Za-z]*[0-9][A-Za-z]+\\b"), 1.0))
+        + points(((letters >= 5) & (vowels < 0.15 * letters), 1.5), ((letters >= 5) & (vowels < 0.22 * letters), 0.75))
+        + points((invalid > 0.4 * F.size(words), 2.0), (invalid > 0.2 * F.size(words), 1.0))
+        + points((capitals >= 2, 2.0), (capitals == 1, 1.0))
+        + points((t.rlike("[Il1|]{3,}|[O0]{2,}|\\bt[DT][IiLl1]|[A-Z]{2,}[a-z][A-Z]{2,}"), 1.0))
+        + points((t.rlike("[.]{3,}|[,]{2,}|[;:]{2,}"), 0.5))
+        + points((count(small, lambda w: ~w.isin(*SHORT_WORDS)) > 0.6 * F.size(small), 0.75))
+        + points((three >= 2, 2.0))
+    )
+    return F.when(F.length(F.trim(t)) >= 3, total)
+
+
+def _first_of(cases):
+    out = F.lit(0.0)
+    for condition, value in reversed(cases):
+        out = F.when(condition, value).otherwise(out)
+    return out
+
+
+def _listed(words: list[str]) -> str:
+    return "(" + ", ".join(f"'{w}'" for w in words) + ")"
+
+
+def _gibberish_sql(t: str) -> str:
+    found = lambda p: f"regexp_extract_all({t}, '{p}')"
+    letters, vowels = f"length(regexp_replace({t}, '[^A-Za-z]', '', 'g'))", f"length(regexp_replace({t}, '[^AEIOUaeiou]', '', 'g'))"
+    words = f"list_filter(list_transform(string_split(trim(regexp_replace({t}, '\\s+', ' ', 'g')), ' '), lambda w: regexp_replace(w, '^[.,!?;:()\\[\\]{{}}]+|[.,!?;:()\\[\\]{{}}]+$', '', 'g')), lambda w: length(w) >= 4)"
+    invalid = f"len(list_filter({words}, lambda w: NOT {_valid_sql('w')}))"
+    bad_capitals = "[BCDFGHJKLMNPQRSTVWXYZ]{3,}"
+    capitals = f"len(list_filter({found(chr(92) + 'b[A-Z]{5,}' + chr(92) + 'b')}, lambda w: w NOT IN {_listed(CAPITALS)} AND (regexp_matches(w, '{bad_capitals}') OR regexp_matches(w, 'AA|EE|II|OO|UU|I[AI]I|AI[AI]') OR length(w) > 7)))"
+    small = found("\\b[a-z]{2,4}\\b")
+    three = f"len(list_filter({found(chr(92) + 'b[A-Z]{3}' + chr(92) + 'b')}, lambda w: w NOT IN {_listed(ACRONYMS)}))"
+    mixed = f"len({found(chr(92) + 'b' + chr(92) + 'w*[a-z][A-Z]' + chr(92) + 'w*' + chr(92) + 'b')})"
+    case = lambda *cases: "CASE " + " ".join(f"WHEN {c} THEN {v}" for c, v in cases) + " ELSE 0 END"
+    parts = [
+        case((f"regexp_matches({t}, '(?i)[bcdfghjklmnpqrstvwxyz]{{4,}}')", 1.5)), case((f"{mixed} >= 2", 2.5), (f"{mixed} = 1", 1.5)), case((f"regexp_matches({t}, '\\b[A-Za-z]+[0-9][A-Za-z]*\\b|\\b[A-Za-z]*[0-9][A-Za-z]+\\b')", 1.0)),
+        case((f"{letters} >= 5 AND {vowels} < 0.15 * {letters}", 1.5), (f"{letters} >= 5 AND {vowels} < 0.22 * {letters}", 0.75)), case((f"{invalid} > 0.4 * len({words})", 2.0), (f"{invalid} > 0.2 * len({words})", 1.0)),
+        case((f"{capitals} >= 2", 2.0), (f"{capitals} = 1", 1.0)), case((f"regexp_matches({t}, '[Il1|]{{3,}}|[O0]{{2,}}|\\bt[DT][IiLl1]|[A-Z]{{2,}}[a-z][A-Z]{{2,}}')", 1.0)), case((f"regexp_matches({t}, '[.]{{3,}}|[,]{{2,}}|[;:]{{2,}}')", 0.5)),
+        case((f"len(list_filter({small}, lambda w: w NOT IN {_listed(SHORT_WORDS)})) > 0.6 * len({small})", 0.75)), case((f"{three} >= 2", 2.0)),
+    ]
+    return f"CASE WHEN length(trim({t})) >= 3 THEN ({' + '.join(parts)})::DOUBLE END"
+
+
+@book.add("v01_gibberish_checks", f"WITH t AS (SELECT DISTINCT code_id, context FROM claim_codes WHERE context IS NOT NULL), g AS (SELECT code_id, {_gibberish_sql('context')} AS score FROM t) SELECT code_id, score, score >= 2 AS is_gibberish, round(least(1.0, score / 3), 6) AS confidence FROM g")
+def _v01(s, d):
+    g = table(s, d, "claim_codes", "code_id", "context").where("context IS NOT NULL").distinct().select("code_id", gibberish_score(F.col("context")).alias("score"))
+    return g.select("code_id", "score", (F.col("score") >= 2).alias("is_gibberish"), F.round(F.least(F.lit(1.0), F.col("score") / 3), 6).alias("confidence"))
+
+
+#: Wording that makes a six-figure sum an amount after all.
+AMOUNT_WORDS = "charge|amount|total|bill|fee|cost|surgery|medicine|room|icu|ot"
+
+
+def amount_issues(a, context):
+    """Why an amount may be none: out of range, or figures like a postal code, a date, a telephone or an id; with its confidence."""
+    whole = a == F.floor(a)
+    text = F.when(whole, a.cast("bigint").cast("string")).otherwise(F.floor(a).cast("bigint").cast("string"))
+    day_first = text.rlike("^(?:0[1-9]|[12][0-9]|3[01])(?:0[1-9]|1[0-2])[0-9]{4}$")
+    issues = [
+        F.when(a < 1, "too low").when(a > 1_000_000, "too high"),
+        F.when(whole & text.rlike("^[1-8][0-9]{5}$") & (a % 5000 != 0) & ~F.coalesce(F.lower(context).rlike(AMOUNT_WORDS), F.lit(False)), "like a postal code"),
+        F.when(day_first, "like a date").when(text.rlike("^202[0-9](?:0[1-9]|1[0-2])[0-9]{2}$"), "like a date"),
+        F.when(text.rlike("^[6-9][0-9]{9}$"), "like a telephone"),
+        F.when((a > 1_000_000) & whole & (F.length(F.regexp_replace(text, "[^0]", "")) >= 5), "suspiciously round"),
+    ]
+    return F.array_compact(F.array(*issues))
+
+
+@book.add("v03_amount_checks", f"WITH {ITEMS_SQL}, x AS (SELECT claim_id, pos, amount AS a, description, CAST(CAST(floor(amount) AS BIGINT) AS VARCHAR) AS t FROM items WHERE amount IS NOT NULL), i AS (SELECT claim_id, pos, list_filter([CASE WHEN a < 1 THEN 'too low' WHEN a > 1000000 THEN 'too high' END, CASE WHEN a = floor(a) AND regexp_matches(t, '^[1-8][0-9]{{5}}$') AND a % 5000 <> 0 AND NOT coalesce(regexp_matches(lower(description), '{AMOUNT_WORDS}'), false) THEN 'like a postal code' END, CASE WHEN regexp_matches(t, '^(?:0[1-9]|[12][0-9]|3[01])(?:0[1-9]|1[0-2])[0-9]{{4}}$') OR regexp_matches(t, '^202[0-9](?:0[1-9]|1[0-2])[0-9]{{2}}$') THEN 'like a date' END, CASE WHEN regexp_matches(t, '^[6-9][0-9]{{9}}$') THEN 'like a telephone' END, CASE WHEN a > 1000000 AND a = floor(a) AND length(regexp_replace(t, '[^0]', '', 'g')) >= 5 THEN 'suspiciously round' END], lambda z: z IS NOT NULL) AS k FROM x) SELECT claim_id, pos, array_to_string(k, ';') AS issues, greatest(0.0, 1 - 0.25 * len(k))::DOUBLE AS confidence FROM i")
+def _v03(s, d):
+    i = items(s, d, keep="amount IS NOT NULL").select("claim_id", "pos", amount_issues(F.col("amount"), F.col("description")).alias("k"))
+    return i.select("claim_id", "pos", F.array_join("k", ";").alias("issues"), F.greatest(F.lit(0.0), 1 - 0.25 * F.size("k")).alias("confidence"))
+
+
+@book.add("n04_confusion_by_context", f"WITH {CLAIMS_SQL}, w AS (SELECT claim_id, string_split(trim(regexp_replace(policy_number || ' ' || coalesce(hospital_name, ''), '\\s+', ' ', 'g')), ' ') AS a FROM claims WHERE policy_number IS NOT NULL) SELECT claim_id, array_to_string(list_transform(a, lambda x: CASE WHEN length(regexp_replace(x, '[^0-9]', '', 'g')) * 2 > length(x) THEN translate(x, 'OoIlSsZzB', '001155228') WHEN length(regexp_replace(x, '[^A-Za-z]', '', 'g')) * 2 > length(x) AND regexp_matches(x, '^[A-Za-z01528]+$') THEN translate(x, '01528', 'OISZB') ELSE x END), ' ') AS repaired FROM w")
+def _n04(s, d):
+    """Words that are mostly figures are read as figures, words that are mostly letters as letters."""
+    c = claims(s, d, "claim_id", "policy_number", "hospital_name", keep="policy_number IS NOT NULL")
+    words = F.split(T.squeeze(F.concat("policy_number", F.lit(" "), F.coalesce("hospital_name", F.lit("")))), " ")
+    share = lambda x, p: F.length(F.regexp_replace(x, p, "")) * 2 > F.length(x)
+    fixed = F.transform(words, lambda x: F.when(share(x, "[^0-9]"), F.translate(x, "OoIlSsZzB", "001155228")).when(share(x, "[^A-Za-z]") & x.rlike("^[A-Za-z01528]+$"), F.translate(x, "01528", "OISZB")).otherwise(x))
+    return c.select("claim_id", F.array_join(fixed, " ").alias("repaired"))
