@@ -245,3 +245,35 @@ def _r05(s, d):
     c = codes(s, d).groupBy("claim_id").agg(F.bool_or(F.upper("code").startswith("H25")).alias("e"))
     has = lambda p: F.coalesce(F.array_contains("procedure_list", p), F.lit(False))
     return claims(s, d).join(c, "claim_id", "left").select("claim_id", (F.coalesce("e", F.lit(False)) & ~has("cataract surgery")).alias("code_without_procedure"), (has("dialysis") & (F.coalesce("length_of_stay", F.lit(0)) == 0)).alias("dialysis_without_stay"))
+
+
+# --- metrics over the scores ----------------------------------------------------------------------------------------
+
+_BANDS_SQL = _SCORE_SQL + ", sc AS (SELECT claim_id, CAST(floor(round(sum(points * w * confidence) / sum(w), 6)) AS BIGINT) AS score FROM pt GROUP BY 1), bands AS (SELECT claim_id, score, CASE WHEN score >= 75 THEN 'CRITICAL' WHEN score >= 50 THEN 'HIGH' WHEN score >= 25 THEN 'MEDIUM' ELSE 'LOW' END AS band FROM sc)"
+
+
+@book.add("m02_flagged_rate", _BANDS_SQL + " SELECT count(*)::BIGINT AS scored, count(*) FILTER (WHERE band IN ('CRITICAL', 'HIGH'))::BIGINT AS flagged, round(CASE WHEN count(*) > 0 THEN 100.0 * count(*) FILTER (WHERE band IN ('CRITICAL', 'HIGH')) / count(*) ELSE 0 END, 4) AS rate FROM bands")
+def _m02(s, d):
+    g = _r12(s, d).agg(F.count(F.lit(1)).alias("scored"), F.count_if(F.col("band").isin("CRITICAL", "HIGH")).alias("flagged"))
+    return g.withColumn("rate", F.round(F.coalesce(F.try_divide(100.0 * F.col("flagged"), F.col("scored")), F.lit(0.0)), 4))
+
+
+@book.add("m05_risk_distribution", _BANDS_SQL + " SELECT band, count(*)::BIGINT AS claims, min(score) AS least, max(score) AS most FROM bands GROUP BY 1")
+def _m05(s, d):
+    return _r12(s, d).groupBy("band").agg(F.count(F.lit(1)).alias("claims"), F.min("score").alias("least"), F.max("score").alias("most"))
+
+
+@book.add("m13_batch_outcomes", _BANDS_SQL + ", m AS (SELECT DISTINCT * FROM claim) SELECT m.claim_id, score, band, CASE WHEN hospital_name IS NULL THEN 'no hospital' WHEN billed_amount IS NULL THEN 'no amount' END AS error, CASE WHEN hospital_name IS NULL OR billed_amount IS NULL THEN 'complete the record' WHEN band IN ('CRITICAL', 'HIGH') THEN 'review' ELSE 'process' END AS action FROM m LEFT JOIN bands USING (claim_id)")
+def _m13(s, d):
+    """One row a claim of a batch: score, level, what to do, or what is wrong with the record."""
+    c = claims(s, d, "claim_id", "hospital_name", "billed_amount").join(_r12(s, d).drop("flagged"), "claim_id", "left")
+    error = F.when(F.col("hospital_name").isNull(), "no hospital").when(F.col("billed_amount").isNull(), "no amount")
+    action = F.when(error.isNotNull(), "complete the record").when(F.col("band").isin("CRITICAL", "HIGH"), "review").otherwise("process")
+    return c.select("claim_id", "score", "band", error.alias("error"), action.alias("action"))
+
+
+@book.add("m12_monthly_levels", _BANDS_SQL + ", m AS (SELECT DISTINCT * FROM claim) SELECT CAST(date_trunc('month', date_of_service) AS DATE) AS month, " + ", ".join(f"count(*) FILTER (WHERE band = '{b}')::BIGINT AS {b.lower()}" for b in ("CRITICAL", "HIGH", "MEDIUM", "LOW")) + " FROM m JOIN bands USING (claim_id) WHERE date_of_service IS NOT NULL GROUP BY 1")
+def _m12(s, d):
+    """Levels by month, as columns."""
+    c = claims(s, d, "claim_id", "date_of_service", keep="date_of_service IS NOT NULL").join(_r12(s, d), "claim_id")
+    return c.groupBy(F.trunc("date_of_service", "month").alias("month")).agg(*[F.count_if(F.col("band") == b).alias(b.lower()) for b in ("CRITICAL", "HIGH", "MEDIUM", "LOW")])
