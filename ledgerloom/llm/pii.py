@@ -108,7 +108,7 @@ def features(text: str, kind: str, a: int, b: int, ordinary: frozenset[str]) ->
         bool(after and after[0].lower() in ORGANISATION), bool(before and before[-1].lower() in ORGANISATION), bool(before and before[-1].lower() in TITLES or len(before) > 1 and before[-1] == "." and before[-2].lower() in TITLES),
         bool(rx(r"\s?[-,]?\s?\d{3}\s?\d{3}").match(text[b : b + 10])), b - a >= 4 and bool(rx(r"\p{L}").match(text[b : b + 1])), bool(rx(r"(?i)rs\.?\s?$|inr\s?$|₹\s?$").search(text[max(0, a - 5) : a])), bool(rx(r"[\d.,/]").match(text[b : b + 1])),
         bool(rx(r"[\d)][ .-]?$").search(text[max(0, a - 2) : a])), bool(rx(r"[ .-]?\d").match(text[b : b + 2])), bool(rx(r"[ ]?\(").match(text[max(0, a - 8) : a])),
-        bool(words) and len(words[-1]) == 1, bool(rx(r"\p{L}").match(span[:1])) and len(words) == 1,
+        bool(rx(r"\d{1,8}\.\d{2}").fullmatch(span)), bool(words) and len(words[-1]) == 1, bool(rx(r"\p{L}").match(span[:1])) and len(words) == 1,
     ]
     near = [w.lower() for w in before]
     cue = np.zeros(len(CUES) * 3 + len(_MARKS) * 2)
@@ -137,18 +137,18 @@ def features(text: str, kind: str, a: int, b: int, ordinary: frozenset[str]) ->
 
 #: Sentence forms for training; {N} person, {E} e-mail, {P} phone, {A} address, {Z} 12-figure number, {T} tax id, {V} voter card, {Q} passport.
 WITH = (
-    "Contact {N} on {P} for the original papers.", "Tel. {P} / {P}", "Wtsapp {P}, mail {E}", "The chest X-ray was seen by Dr. {N}.",
-    "I, {N}, declare that the bills are true.", "Insured: {N} Room {d}", "Name of Patient: {N}", "Treating consultant: Dr. {N}", "Dr. {N} and Dr. {N} signed the consent form.", "The patient {N} was brought by a relative.",
-    "Sd/- {N}", "The file was collected by {N} yesterday.", "Prepared by {N}, checked by {N}.", "Permanent address of Mrs. {N} is {A}.", "Correspondence goes to {N}, {A}.", "The witness {N} of {A} confirmed the date.", "The maid, {N}, opened the door at {A}.",
-    "W/o Shri {N}, {A}", "The insured resides at {A}.", "Address: {A}", "Contact {N} on {P} for the original papers.", "Please ring {N} after six: {P}.", "The caller, Mr. {N}, gave {P} as callback number.", "Emergency contact: {N} (brother) {P}", "Tel. {P} / {P}", "Mobile: {P}",
-    "Wtsapp {P}, mail {E}", "Please write to {E} or call {P}.", "He wrote from {E} and not from {E}.", "E-mail: {E}", "Copy to: {N}; {E}", "Aadhaar {Z} of {N} is attached.", "UID {Z}", "ID proof: {Z}", "ID proof: {T}", "ID proof: {Q}", "ID proof: {V}", "The identity card {Z} was seen in original.", "The identity card {V} was seen in original.", "The identity card {T} was seen in original.", "The identity card {Q} was seen in original.",
-    "Tax id {T} does not belong to {N}.", "Nominee {N}, PAN {T}.", "Voter card {V} was shown at the counter.", "Passport no. {Q} was copied.", "S/o {N} of {A}", "Attention {N}, phone {P}.", "My father {N} can be reached on {P}.", "The driver {N} lives at {A}.", "Smt. {N} paid at the counter.", "Signed by {N}.", "Driving was denied by Kum. {N}.", "Shri {N} is my guardian.", "Discharged by Dr. {N}, M.D., in the evening.",
+    "Please get in touch with {N} on {P} about the survey.", "Reach {N} at {P}.", "Phone {P} / {P}", "Phone {P} or {P}", "Call {P}, mail {E}", "Cell {P}, write {E}", "The drawing was approved by Dr. {N}.", "I, {N}, hereby state that this is correct.", "I, {N}, confirm it.",
+    "Tenant: {N} Unit {d}", "Member: {N} Seat {d}", "Name of Applicant: {N}", "Name of Student: {N}", "Supervising engineer: Dr. {N}", "Lecturer: Prof. {N}", "Dr. {N} and Dr. {N} wrote the review.", "The guest {N} came with a friend.", "The pupil {N} was driven home by a neighbour.",
+    "Sd/- {N}", "Sgd. {N}", "The parcel was picked up by {N} on Friday.", "The keys were taken by {N} at noon.", "Written by {N}, reviewed by {N}.", "Home address of Mrs. {N} is {A}.", "Present address of Mr. {N}: {A}.", "Letters are sent to {N}, {A}.", "Parcels are for {N}, {A}.", "The neighbour {N} of {A} saw the van.", "The tenant {N} of {A} agreed.", "The cook, {N}, answered the bell at {A}.", "The gardener, {N}, works at {A}.",
+    "D/o Shri {N}, {A}", "H/o Smt. {N}, {A}", "The owner lives at {A}.", "The singer stays at {A}.", "Address: {A}", "Residence: {A}", "Kindly phone {N} before noon: {P}.", "Try {N} in the evening: {P}.", "The visitor, Mr. {N}, left {P} as number.", "The tailor, Mrs. {N}, dialled from {P} twice.", "In need: {N} (sister) {P}", "Next of kin: {N} (uncle) {P}", "Mobile: {P}", "Cell: {P}", "Landline {P}", "Tel. {P}", "Tel: {P}; {P}", "Tel. {P} or {P}", "Contact {N} for the key.", "Contact: {N}, {P}", "To rent, contact {N} on {P} by noon.", "Nominee: {N}", "Nominee {N} has signed.", "Her nominee {N}, tax no. {T}.",
+    "Kindly mail {E} or ring {P}.", "Answer to {E} or dial {P}.", "She replied from {E} and never from {E}.", "It came from {E} and also from {E}.", "E-mail: {E}", "Mail id: {E}", "cc: {N}; {E}", "To: {N}; {E}", "National id {Z} of {N} is enclosed.", "Number {Z} of {N} is on file.", "UID {Z}", "Id: {Z}", "Id: {T}", "Id: {Q}", "Id: {V}", "Document: {Z}", "Document: {T}", "Document: {V}", "The card {Z} was inspected.", "The card {V} was inspected.", "The card {T} was inspected.", "The card {Q} was inspected.", "The paper {Q} is valid.", "The paper {V} is valid.", "The paper {T} is valid.",
+    "Tax number {T} is not that of {N}.", "Heir {N}, PAN {T}.", "Guarantor {N}, tax no. {T}.", "Voter id {V} was noted at the gate.", "Elector {V} was noted.", "Passport {Q} was scanned.", "Passport no. {Q} is old.", "Son of {N} of {A}", "S/o {N} from {A}", "For {N}, phone {P}.", "Ask {N}, cell {P}.", "My mother {N} will answer on {P}.", "My cousin {N} has the number {P}.", "The pilot {N} is living at {A}.", "Smt. {N} sang at the fair.", "Approved by {N}.", "Entry was granted by Kum. {N}.", "Shri {N} is my teacher.", "Seen by Dr. {N}, M.D., in the morning.", "Painted by {N}.",
 )
 WITHOUT = (
-    "The chest X-ray taken on 12.03.2024 did not reveal any abnormality.", "Supporting vouchers for ₹ {6}.{2} have not been produced.", "Sub Total ₹{6}.{2}", "Payment of ₹{6} will be transferred.", "The final bill of ₹ {5}.{2} was signed for.", "Registration ₹ {6}", "The claim no. {6}-B was registered.", "Claim Form Part B",
-    "Policy SWP{7} is active.", "Policy SWP{8} was in force.", "Claim CL{8} replaces claim CL{6}.", "Lot {6} of the implant was used.", "Order {5}-{6} was cancelled.", "Regn. No. {6} of the hospital expired.", "The receipt no. {0} was attached.", "UTR {1} was credited.", "The tariff of {H}, {C} applies.", "The hospital {H} is listed.", "The grievance was escalated to the nodal officer of {C} Health.",
-    "Room Charges : Rs. {6}", "Sub Total INR {5}.00", "Interim bills were raised on 2024-03-1{x} for Rs. {5}.", "Blood pressure remained within acceptable limits throughout the stay.", "Consultation Fee .... Rs. {5}", "Medicines and Consumables : INR {6}", "CT Scan Abdomen Rs.{5}", "The Regional Manager of {C} wants to see the bill.", "Chemotherapy cycles were administered.", "Our medical team has verified the tariff of {H} in response to the query.",
-    "The policy SWP{8} was in force during the entire period.", "The accident was reported at the nearest police station in {C}.", "Bill no. {5} of {H} dated 12.03.2024.", "Account {1} was debited.", "The claim was registered under reference no. {6} and assigned.", "The Insurer may call for additional documents.", "Liver Function Test : Rs. {6}", "MRI Brain INR {5}", "Operation Theatre .... Rs {6}", "Diet Charges INR {5}", "Nursing Charges Rs. {5}", "X-Ray Chest PA : Rs {5}", "An ultrasound of the abdomen showed stones.", "Batch {0} of the medicine was recalled.", "Invoice {1} was paid.", "The discharge card mentions K80.2 as the primary code.", "The visit to {H} took 3 hours.", "The insurer returned the bill during the visit to {H}.", "The third party administrator has forwarded the complete file to {I}.", "The investigator approved the tariff of {H} without further comment.", "The hospital {H} is listed.", "The grievance was escalated to the nodal officer of {I}.", "{H} has replied.", "{I} has paid.", "The field investigation at {C} ended.", "The regional office in {C} closed at 5.", "Advance payment of Rs {5} was collected at the admission counter.",
+    "The photograph of 12.03.2024 did not show any damage.", "Papers worth ₹ {6}.{2} are still awaited.", "It was {5}.{2} in all.", "Sum {6}.{2}", "Grand sum ₹{6}.{2}", "A transfer of ₹{6} is planned.", "The price of ₹ {5}.{2} was agreed.", "Deposit ₹ {6}", "The ticket no. {6}-B was opened.", "Schedule Part B", "Appendix Part C",
+    "Contract SWP{7} is valid.", "Contract SWP{8} was renewed in time.", "Ticket CL{8} follows ticket CL{6}.", "Batch {6} of the paint was used up.", "Order {5}-{6} has been shipped.", "Regn. No. {6} of the school lapsed.", "The voucher no. {0} was enclosed.", "UTR {1} has arrived.", "The rates of {H}, {C} are old.", "The house {H} is known.", "The letter was passed to the head of {C} Health.", "The note was sent to the clerk of {I}.",
+    "Rent : Rs. {6}", "Total INR {5}.00", "Invoices were sent on 2024-03-1{x} for Rs. {5}.", "The weather stayed within usual limits all week.", "Lodging .... Rs. {5}", "Books and Pens : INR {6}", "Bus Hire Town Rs.{5}", "The Branch Manager of {C} asked for the plan.", "Music lessons were given.", "Our own team has looked at the rates of {H} again.",
+    "The contract SWP{8} ran for the whole of the year.", "The theft was reported at the next police post in {C}.", "Bill no. {5} of {H} dated 12.03.2024.", "Account {1} was closed.", "The request was filed under number {6} and sorted.", "The Committee may ask for more papers.", "Roof Repair Work : Rs. {6}", "CCTV Wiring INR {5}", "Concert Hall .... Rs {6}", "Food Costs INR {5}", "Cleaning Costs Rs. {5}", "K-Band Filter PA : Rs {5}", "A look at the garden showed stones.", "Lot {0} of the cement was returned.", "Invoice {1} is settled.", "The leaflet names K80.2 as the first entry.", "The trip to {H} took 3 hours.", "The board sent back the plan on the trip to {H}.", "The second office has handed the whole folder to {I}.", "The auditor liked the rates of {H} very much.", "The house {H} is shut.", "The note was carried to the head clerk of {I}.", "{H} has answered.", "{I} has agreed.", "The search at {C} is over.", "The branch at {C} shut at 5.", "A sum of Rs {5} was taken at the front desk.",
 )
 
 
