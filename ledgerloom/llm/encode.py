@@ -115,7 +115,10 @@ class Encoder:
 @lru_cache(2)
 def encoder(vocabulary: str) -> Encoder:
     """One encoder per Python worker, from the copy that was sent to its node, else from the path itself."""
-    sent = SparkFiles.get(os.path.basename(vocabulary))
+    try:
+        sent = SparkFiles.get(os.path.basename(vocabulary))
+    except AssertionError:  # no Spark here
+        sent = vocabulary
     return Encoder(sent if os.path.exists(sent) else vocabulary)
 
 
