@@ -98,7 +98,7 @@ def _e02(s, d):
 
 
 def _day_sql(t: str) -> str:
-    return f"(SELECT {_DSQL} FROM (SELECT regexp_replace(regexp_replace(trim({t}), '[./\\s,-]+', '-', 'g'), '(?i)^([a-z]{{3}})[a-z]*-([0-9]{{1,2}})-([0-9]{{4}})$', '\\2-\\1-\\3') AS t))"
+    return f"(SELECT coalesce({_DSQL}, CASE WHEN regexp_matches(t, '^[0-9]{{8}}$') THEN CAST(TRY_STRPTIME(t, '%d%m%Y') AS DATE) END) FROM (SELECT regexp_replace(regexp_replace(trim({t}), '[./\\s,-]+', '-', 'g'), '(?i)^([a-z]{{3}})[a-z]*-([0-9]{{1,2}})-([0-9]{{4}})$', '\\2-\\1-\\3') AS t))"
 
 
 def day_of(c: Column) -> Column:
@@ -274,7 +274,7 @@ def _e07(s, d):
 # --- dates and codes with their context ------------------------------------------------------------------------------
 
 _MON = "(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*"
-ANY_DATE = f"(?i)\\b([0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}}|[0-9]{{1,2}}[./-][0-9]{{1,2}}[./-](?:[0-9]{{4}}|[0-9]{{2}})|[0-9]{{8}}|[0-9]{{1,2}}[ -]{_MON}[ -][0-9]{{4}}|{_MON} [0-9]{{1,2}},? [0-9]{{4}})\\b"
+ANY_DATE = f"(?i)\\b([0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}}|[0-9]{{1,2}}[./-][0-9]{{1,2}}[./-](?:[0-9]{{4}}|[0-9]{{2}})|(?:0[1-9]|[12][0-9]|3[01])(?:0[1-9]|1[0-2])(?:19|20)[0-9]{{2}}|[0-9]{{1,2}}[ -]{_MON}[ -][0-9]{{4}}|{_MON} [0-9]{{1,2}},? [0-9]{{4}})\\b"
 #: What a date is, by the wording before it, the first kind that matches winning.
 DATE_KINDS = (("admission", "admi(?:ssion|tted)|\\bdoa\\b"), ("discharge", "discharged?|\\bdod\\b"), ("birth", "birth|\\bborn\\b|\\bdob\\b"), ("policy start", "policy (?:start|from)|in force from|valid from"), ("policy end", "policy (?:end|to|expiry)|valid (?:to|till)|expir"), ("accident", "accident|date of loss"), ("bill", "bills?|invoice|receipt"), ("follow-up", "follow-?up|appointment"), ("service", "service|taken|performed"))
 
