@@ -21,9 +21,10 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pandas as pd
 import pyarrow as pa
 import regex as re
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ledgerloom.durable import durable
@@ -372,43 +373,66 @@ def statistics(documents: DataFrame, text: str = "text", lang: str = "lang") ->
     return spread(documents.select(text, lang)).mapInArrow(run, "lang string, kind string, word string, n bigint").groupBy("lang", "kind", "word").agg(F.sum("n").alias("n"))
 
 
+def _learned(judged: DataFrame, what: str) -> list[Row]:
+    """All rows of what passed its test; more than the driver may hold is an error."""
+    rows = judged.limit(MAX_LEARNED + 1).collect()
+    if len(rows) > MAX_LEARNED:
+        raise ValueError(f"too many {what}: the texts are no sentences of known scripts")
+    return rows
+
+
 def learn(documents: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     """The model of all documents."""
     counted = durable(statistics(documents, text, lang))
     wide = counted.groupBy("lang", "word").pivot("kind", ["all", "dot", "final", "small", "start", "ordinal", "dots", "finals", "starts", "blocks"]).sum("n").na.fill(0)
-    totals = {r["lang"]: r for r in wide.groupBy("lang").agg(F.sum("all").alias("tokens"), F.sum("ordinal").alias("ordinals"), F.max(F.when(F.col("word") == "", F.col("dots"))).alias("dots"), F.max(F.when(F.col("word") == "", F.col("finals"))).alias("finals"), F.max(F.when(F.col("word") == "", F.col("starts"))).alias("starts")).collect()}
+    totals = {r["lang"]: r.asDict() for r in wide.groupBy("lang").agg(F.sum("all").alias("tokens"), F.sum("ordinal").alias("ordinals"), F.max(F.when(F.col("word") == "", F.col("dots"))).alias("dots"), F.max(F.when(F.col("word") == "", F.col("finals"))).alias("finals"), F.max(F.when(F.col("word") == "", F.col("starts"))).alias("starts")).collect()}
     # A starter follows sentence ends more often than chance; a type with a period is worth testing if it has one often.
     kept = wide.where("word <> '' AND ((dot > 0 AND dot >= 0.5 * greatest(`all` - dot, 0) AND length(word) <= 12) OR (start >= 3 AND start >= 0.15 * `all`) OR (ordinal >= 3 AND ordinal >= 0.2 * `all`))")
-    rows = kept.limit(MAX_LEARNED + 1).collect()
-    if len(rows) > MAX_LEARNED:
-        raise ValueError("too many candidates: the texts are no sentences of known scripts")
+
+    # Codes and amounts that end sentences make the candidates as many as the documents: they are judged where they are.
+    def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for r in f.to_dict("records"):
+                lg, w, total = r["lang"], r["word"], totals[r["lang"]]
+                if r["dot"]:
+                    ends = is_abbreviation(w, r["all"], r["dot"], r["final"], r["small"], total["dots"] or 1, total["finals"] or 0, total["tokens"] or 1)
+                    if ends is not None:
+                        out.append((lg, "ends" if ends else "goes on", w))
+                share = (total["starts"] or 0) / max(total["tokens"] or 1, 1)
+                if r["start"] >= 3 and r["start"] > share * r["all"] and _llr(r["start"], max(r["all"], r["start"]), share, r["start"] / max(r["all"], r["start"])) > 30:
+                    out.append((lg, "starter", w))
+                if r["ordinal"] >= 3 and r["ordinal"] >= 0.2 * r["all"] and collocation_ratio(r["ordinal"], total["ordinals"], r["all"], total["tokens"]) >= COLLOCATED:
+                    out.append((lg, "ordinal", w))
+            yield pd.DataFrame(out, columns=["lang", "kind", "word"])
+
     model = Model()
-    for r in rows:
-        lg, w, total = r["lang"], r["word"], totals[r["lang"]]
-        if r["dot"]:
-            ends = is_abbreviation(w, r["all"], r["dot"], r["final"], r["small"], total["dots"] or 1, total["finals"] or 0, total["tokens"] or 1)
-            if ends is not None:
-                model.abbreviations[lg, w] = ends
-        share = (total["starts"] or 0) / max(total["tokens"] or 1, 1)
-        if r["start"] >= 3 and r["start"] > share * r["all"] and _llr(r["start"], max(r["all"], r["start"]), share, r["start"] / max(r["all"], r["start"])) > 30:
+    for lg, kind, w in _learned(kept.mapInPandas(judge, "lang string, kind string, word string"), "sentence types"):
+        if kind == "starter":
             model.starters.add((lg, w))
-        if r["ordinal"] >= 3 and r["ordinal"] >= 0.2 * r["all"] and collocation_ratio(r["ordinal"], total["ordinals"], r["all"], total["tokens"]) >= COLLOCATED:
+        elif kind == "ordinal":
             model.ordinals.add((lg, w))
+        else:
+            model.abbreviations[lg, w] = kind == "ends"
     # Words that follow an abbreviation that may end a sentence as well; the pairs of other types decide nothing.
     open_ = [(lg, t) for (lg, t), ends in model.abbreviations.items() if ends]
     if open_:
         types = documents.sparkSession.createDataFrame(open_, "lang string, t string")
         pairs = counted.where("kind = 'pair' AND n >= 3").select("lang", F.substring_index("word", " ", 1).alias("t"), F.substring_index("word", " ", -1).alias("next"), "n").join(F.broadcast(types), ["lang", "t"])
         pairs = pairs.join(wide.select("lang", F.col("word").alias("t"), F.col("dot").alias("first")), ["lang", "t"]).join(wide.select("lang", F.col("word").alias("next"), F.col("all").alias("second"), "start"), ["lang", "next"])
-        found = pairs.limit(MAX_LEARNED + 1).collect()
-        if len(found) > MAX_LEARNED:
-            raise ValueError("too many pairs of abbreviations and words")
-        for r in found:
-            # It must follow the type more often than chance, and also more often than it follows the ends of sentences.
-            total, share = totals[r["lang"]], r["n"] / r["first"]
-            begins = r["start"] / max(total["starts"] or 1, 1)
-            if collocation_ratio(r["n"], r["first"], r["second"], total["tokens"] or 1) >= COLLOCATED and share > begins and _llr(r["n"], r["first"], begins, share) >= COLLOCATED:
-                model.collocations.add((r["lang"], r["t"], r["next"]))
+
+        # It must follow the type more often than chance, and also more often than it follows the ends of sentences.
+        def collocated(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                out = []
+                for r in f.to_dict("records"):
+                    total, share = totals[r["lang"]], r["n"] / r["first"]
+                    begins = r["start"] / max(total["starts"] or 1, 1)
+                    if collocation_ratio(r["n"], r["first"], r["second"], total["tokens"] or 1) >= COLLOCATED and share > begins and _llr(r["n"], r["first"], begins, share) >= COLLOCATED:
+                        out.append((r["lang"], r["t"], r["next"]))
+                yield pd.DataFrame(out, columns=["lang", "t", "next"])
+
+        model.collocations.update(map(tuple, _learned(pairs.mapInPandas(collocated, "lang string, t string, next string"), "pairs of abbreviations and words")))
     return model
 
 

@@ -196,3 +196,13 @@ def test_collocations_keep_a_name_with_its_abbreviation(spark):
     forced = S.Model(abbreviations={("en", "st"): True}, collocations={("en", "st", "gabil")})
     cut = lambda t: len(S.Splitter(forced).ends(t, "en"))
     assert cut("We went to St. Gabil today") == 1 and cut("We went to the St. Nobody came") == 2
+
+
+def test_codes_that_end_sentences_are_no_burden_of_the_driver(spark, monkeypatch):
+    """More candidates than the driver may hold are judged by the workers; the units are those of the unbounded model."""
+    rows = [(i, f"Dr. Rao saw case swp{70_000_000 + i}. The bill is paid. See swp{90_000_000 + i}.", "en") for i in range(400)]
+    documents = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    whole = sorted(map(tuple, S.units(documents).collect()))
+    monkeypatch.setattr(S, "MAX_LEARNED", 100)
+    assert sorted(map(tuple, S.units(documents).collect())) == whole
+    assert len(whole) >= 2 * len(rows)
